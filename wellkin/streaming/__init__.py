@@ -1,0 +1 @@
+"""No streaming operators: every job of the workload is batch (see README)."""
