@@ -1,17 +1,18 @@
-"""Distance on the WGS84 spheroid as a JVM-side expression.
+"""Distance on the WGS84 spheroid as JVM-side SQL expressions.
 
-Trigonometry on coordinates happens once per point (`with_unit_vector`); a pair
-then needs only the squared chord of two unit vectors plus a first-order
-flattening correction (Andoyer-Lambert).  Against an iterative geodesic the
-error stays below a metre at the radii used here.
+Trigonometry on coordinates happens once per point (`unit_vector`); a pair then needs only
+the squared chord of two unit vectors plus a first-order flattening correction
+(Andoyer-Lambert).  Against an iterative geodesic the error stays below a metre at the radii
+used here.
 
-Each step is its own column: nesting the whole formula in one expression would
-evaluate the shared parts many times over.
+The expressions are SQL text, composed before Spark parses them, and shared parts are named
+columns of an inner projection: nesting the whole formula in one expression would evaluate
+them many times over.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 SEMI_MAJOR_M = 6378137.0
 FLATTENING = 1 / 298.257223563
@@ -25,77 +26,62 @@ MILES_PER_LAT_DEGREE = 68.7
 MILES_PER_LON_DEGREE = 69.17
 
 
-def with_unit_vector(df: DataFrame, lat: str, lon: str, names: tuple[str, str, str]) -> DataFrame:
-    """Add the unit vector of each point's reduced latitude and longitude."""
+def reduced_latitude(lat: str) -> str:
+    return f"atan({1 - FLATTENING!r}D * tan(radians({lat})))"
+
+
+def unit_vector(beta: str, lon: str, names: tuple[str, str, str]) -> list[str]:
+    """Select expressions of the unit vector at a reduced latitude and a longitude."""
     x, y, z = names
-    reduced = F.atan((1 - FLATTENING) * F.tan(F.radians(lat)))
-    return (
-        df.withColumn("_beta", reduced)
-        .withColumns(
-            {
-                x: F.cos("_beta") * F.cos(F.radians(lon)),
-                y: F.cos("_beta") * F.sin(F.radians(lon)),
-                z: F.sin("_beta"),
-            }
-        )
-        .drop("_beta")
-    )
+    return [
+        f"cos({beta}) * cos(radians({lon})) AS {x}",
+        f"cos({beta}) * sin(radians({lon})) AS {y}",
+        f"sin({beta}) AS {z}",
+    ]
 
 
-def half_chord_sq(a: tuple[str, str, str], b: tuple[str, str, str]) -> Column:
+def half_chord_sq(a: tuple[str, str, str], b: tuple[str, str, str]) -> str:
     """sin^2 of half the central angle: three subtractions and three products."""
-    parts = [(F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in zip(a, b)]
-    return (parts[0] + parts[1] + parts[2]) / 4
+    squares = [f"({p} - {q}) * ({p} - {q})" for p, q in zip(a, b)]
+    return f"({' + '.join(squares)}) / 4"
 
 
-def half_chord_limit(radius_miles: Column) -> Column:
+def half_chord_limit(radius_miles: str) -> str:
     """Upper bound of `half_chord_sq` for points within the radius."""
-    half_angle = radius_miles * (SPHERE_SLACK * METRES_PER_MILE / (2 * SEMI_MAJOR_M))
-    return F.sin(half_angle) * F.sin(half_angle)
+    half_angle = f"{radius_miles} * {SPHERE_SLACK * METRES_PER_MILE / (2 * SEMI_MAJOR_M)!r}D"
+    return f"sin({half_angle}) * sin({half_angle})"
 
 
 def with_distance_mi(
-    df: DataFrame, a: tuple[str, str, str], b: tuple[str, str, str], name: str = "distance_mi"
+    df: DataFrame, a: tuple[str, str, str], b: tuple[str, str, str], keep: list[str]
 ) -> DataFrame:
-    """Add the spheroidal distance in miles between two unit vectors of a row."""
-    za, zb = F.col(a[2]), F.col(b[2])
-    return (
-        df.withColumn("_h", half_chord_sq(a, b))
-        .withColumn("_sigma", 2 * F.asin(F.sqrt("_h")))
-        .withColumn("_sin", 2 * F.sqrt(F.col("_h") * (1 - F.col("_h"))))
-        .withColumn("_zm", (za + zb) / 2)
-        .withColumn("_zd", (zb - za) / 2)
-        .withColumn(
-            "_bend",
-            (F.col("_sigma") - F.col("_sin")) * F.col("_zm") * F.col("_zm") / (1 - F.col("_h"))
-            + (F.col("_sigma") + F.col("_sin"))
-            * F.col("_zd")
-            * F.col("_zd")
-            / F.nullif(F.col("_h"), F.lit(0.0)),
-        )
-        .withColumn(
-            name,
-            F.coalesce(
-                SEMI_MAJOR_M
-                * (F.col("_sigma") - FLATTENING / 2 * F.col("_bend"))
-                / METRES_PER_MILE,
-                F.lit(0.0),
-            ),
-        )
-        .drop("_h", "_sigma", "_sin", "_zm", "_zd", "_bend")
+    """``keep`` plus ``distance_mi``, the spheroidal distance between two unit vectors."""
+    parts = df.selectExpr(
+        *keep,
+        f"{half_chord_sq(a, b)} AS _h",
+        f"({a[2]} + {b[2]}) / 2 AS _zm",
+        f"({b[2]} - {a[2]}) / 2 AS _zd",
+    ).selectExpr("*", "2 * asin(sqrt(_h)) AS _sigma", "2 * sqrt(_h * (1 - _h)) AS _sin")
+    bend = (
+        "((_sigma - _sin) * _zm * _zm / (1 - _h)"
+        " + (_sigma + _sin) * _zd * _zd / nullif(_h, 0D))"
+    )
+    metres = f"{SEMI_MAJOR_M}D * (_sigma - {FLATTENING / 2!r}D * {bend})"
+    return parts.selectExpr(
+        *keep, f"coalesce({metres} / {METRES_PER_MILE}D, 0D) AS distance_mi"
     )
 
 
-def lat_band(lat: Column, radius_miles: Column) -> Column:
+def lat_band(lat: str, radius_miles: str) -> str:
     """Grid row: bands at least one radius high."""
-    return F.floor(lat / (radius_miles / MILES_PER_LAT_DEGREE))
+    return f"floor({lat} / ({radius_miles} / {MILES_PER_LAT_DEGREE}D))"
 
 
-def band_width(band: Column, radius_miles: Column) -> Column:
+def band_width(band: str, radius_miles: str) -> str:
     """Cell width (degrees of longitude) of a band, at least one radius wide.
 
-    The cosine is taken one whole band beyond the neighbours' poleward edge, so
-    three adjacent columns always cover the radius.
+    The cosine is taken one whole band beyond the neighbours' poleward edge, so three
+    adjacent columns always cover the radius.
     """
-    edge = F.least(F.lit(89.0), (F.abs(band) + 2) * (radius_miles / MILES_PER_LAT_DEGREE))
-    return radius_miles / (MILES_PER_LON_DEGREE * F.cos(F.radians(edge)))
+    edge = f"least(89D, (abs({band}) + 2) * ({radius_miles} / {MILES_PER_LAT_DEGREE}D))"
+    return f"({radius_miles} / ({MILES_PER_LON_DEGREE}D * cos(radians({edge}))))"

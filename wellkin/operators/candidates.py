@@ -27,7 +27,7 @@ def match(
     basins: BasinSet = BASINS,
     max_zero: int = 2,
     on: tuple[str, ...] = ("basin_name",),
-    radius: Column | float | None = None,
+    radius: str | float | None = None,
 ) -> DataFrame:
     """Pairs of wells of a basin where the candidate started no later than the target,
     lies within the basin's radius and has a similar lateral."""
@@ -48,13 +48,10 @@ def match(
     )
     candidates = prefixed(usable.filter(candidate_ok).select(*_PAIR_COLUMNS), "candidate_", on)
     rule = (
-        (F.col("target_id") != F.col("candidate_id"))
-        & (F.col("candidate_first_prod_date") <= F.col("target_first_prod_date"))
-        & F.col("candidate_lateral_length").between(
-            F.col("target_shortest"), F.col("target_longest")
-        )
+        "target_id <> candidate_id AND candidate_first_prod_date <= target_first_prod_date"
+        " AND candidate_lateral_length BETWEEN target_shortest AND target_longest"
     )
-    reach = basins.value("max_distance_miles") if radius is None else radius
+    reach = basins.sql("max_distance_miles") if radius is None else radius
     return within_radius(targets, candidates, reach, on, rule).drop(
         "target_shortest", "target_longest"
     )

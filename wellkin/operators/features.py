@@ -156,8 +156,10 @@ def group_sizes(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("target_id").agg(F.count("*").alias("group_size"))
 
 
-def ranking17(pairs: DataFrame, with_peaks: bool = True) -> DataFrame:
-    """the 17 ranking features after the pair's ids.
+def ranking17(
+    pairs: DataFrame, with_peaks: bool = True, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """the 17 ranking features after the pair's ids and the ``keep`` columns.
 
     Needs the pair measures, ``target_lateral_length``, ``target_proppant_per_ft`` and
     ``candidate_proppant_per_ft``; with ``with_peaks`` also both sides' ``peak_oil`` and
@@ -218,6 +220,7 @@ def ranking17(pairs: DataFrame, with_peaks: bool = True) -> DataFrame:
     return pairs.select(
         "target_id",
         "candidate_id",
+        *keep,
         *[values[name].cast("double").alias(name) for name in RANKING_FEATURES],
     )
 

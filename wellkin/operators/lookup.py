@@ -23,17 +23,13 @@ def _candidates(early: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return prefixed(early.select(*_COLUMNS), "candidate_", keep)
 
 
-def _lateral_between(low: Column, high: Column) -> Column:
-    return F.col("candidate_lateral_length").between(low, high)
-
-
 def analogs(
     targets: DataFrame,
     early: DataFrame,
     basins: BasinSet = BASINS,
     k: int = 20,
-    radius: Column | float | None = None,
-    tolerance: Column | float | None = None,
+    radius: str | float | None = None,
+    tolerance: float | None = None,
     near_share: float | None = 0.25,
 ) -> DataFrame:
     """The k nearest same-formation wells that started strictly before the target.
@@ -42,7 +38,7 @@ def analogs(
     lateral find nothing.
     """
     on = ("basin_name", "formation")
-    reach = basins.value("max_distance_miles") if radius is None else radius
+    reach = basins.sql("max_distance_miles") if radius is None else radius
     slack = basins.value("lateral_tolerance") if tolerance is None else F.lit(tolerance)
     lateral = F.col("lateral_length")
     wanted = targets.filter(F.col("formation").isNotNull() & (lateral > 0)).select(
@@ -56,8 +52,11 @@ def analogs(
         (lateral * (1 + slack)).alias("longest"),
     )
     known = early.filter(F.year("first_prod_date") >= basins.value("min_vintage_year"))
-    earlier = F.col("candidate_first_prod_date") < F.col("target_first_prod_date")
-    similar = _lateral_between(F.col("target_shortest"), F.col("target_longest"))
+    rule = (
+        "candidate_first_prod_date < target_first_prod_date"
+        " AND candidate_lateral_length BETWEEN target_shortest AND target_longest"
+    )
+    near = None if near_share is None else f"{reach} * {near_share}D"
     return (
         nearest_within(
             prefixed(wanted, "target_", on),
@@ -65,8 +64,8 @@ def analogs(
             reach,
             k,
             on,
-            earlier & similar,
-            None if near_share is None else reach * near_share,
+            rule,
+            near,
         )
         .withColumn(
             "length_ratio", ratio(F.col("candidate_lateral_length"), F.col("target_lateral_length"))
@@ -97,13 +96,12 @@ def new_well(
         ),
         "target_",
     )
-    known_by_then = t("planned_date").isNull() | (c("first_prod_date") <= t("planned_date"))
-    similar = _lateral_between(
-        t("lateral_length") * (1 - tolerance), t("lateral_length") * (1 + tolerance)
-    )
-    found = nearest_within(
-        wanted, _candidates(early, ()), radius, k, (), known_by_then & similar
+    rule = (
+        "(target_planned_date IS NULL OR candidate_first_prod_date <= target_planned_date)"
+        f" AND candidate_lateral_length BETWEEN target_lateral_length * {1 - tolerance!r}D"
+        f" AND target_lateral_length * {1 + tolerance!r}D"
     )
+    found = nearest_within(wanted, _candidates(early, ()), radius, k, (), rule)
     return found.withColumns(
         {
             "length_ratio": ratio(t("lateral_length"), c("lateral_length")),
@@ -127,14 +125,13 @@ def evaluation(
     """Nearest earlier wells of exactly the target's formation, any lateral."""
     on = ("basin_name", "formation")
     t, c = (lambda n: F.col(f"target_{n}")), (lambda n: F.col(f"candidate_{n}"))
-    earlier = c("first_prod_date") < t("first_prod_date")
     found = nearest_within(
         prefixed(targets.select(*_COLUMNS), "target_", on),
         _candidates(early, on),
         radius,
         k,
         on,
-        earlier,
+        "candidate_first_prod_date < target_first_prod_date",
     )
     return found.withColumns(
         {

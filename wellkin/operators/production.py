@@ -16,7 +16,9 @@ PRODUCTION_FLOOR = "2014-01-01"
 MIN_MONTHS = 9
 PEAK_WINDOW = 7
 
-_PER_WELL = Window.partitionBy("well_id")
+
+def _per_well():
+    return Window.partitionBy("well_id")
 
 
 def _feed(feed: DataFrame, floor: str, oil: Column, gas: Column) -> DataFrame:
@@ -53,7 +55,7 @@ def monthly_max(production: DataFrame) -> DataFrame:
 def history_gate(monthly: DataFrame, min_months: int = MIN_MONTHS) -> DataFrame:
     """A5: wells with enough distinct dates.  Input: one row per (well, date)."""
     return (
-        monthly.withColumn("_dates", F.count("prod_date").over(_PER_WELL))
+        monthly.withColumn("_dates", F.count("prod_date").over(_per_well()))
         .filter(F.col("_dates") >= min_months)
         .drop("_dates")
     )
@@ -62,7 +64,7 @@ def history_gate(monthly: DataFrame, min_months: int = MIN_MONTHS) -> DataFrame:
 def month_index(monthly: DataFrame) -> DataFrame:
     """Each row's whole months since the well's first date."""
     return monthly.withColumn(
-        "true_first_prod_date", F.min("prod_date").over(_PER_WELL)
+        "true_first_prod_date", F.min("prod_date").over(_per_well())
     ).withColumn(
         "month_index",
         F.floor(F.months_between("prod_date", "true_first_prod_date")).cast("bigint"),
@@ -88,7 +90,7 @@ def peak_month(indexed: DataFrame, window: int = PEAK_WINDOW) -> DataFrame:
 
 def align(indexed: DataFrame, window: int | Column = PEAK_WINDOW) -> DataFrame:
     """Rows from the peak on, renumbered from 0; wells without a peak drop out."""
-    peak = F.max_by("month_index", _peak_candidate(window)).over(_PER_WELL)
+    peak = F.max_by("month_index", _peak_candidate(window)).over(_per_well())
     return (
         indexed.withColumn("peak_month", peak)
         .filter(F.col("month_index") >= F.col("peak_month"))

@@ -79,9 +79,7 @@ def peak_alignment(production: DataFrame, window: int = PEAK_WINDOW) -> DataFram
 
 def geographic_bounds(wells: DataFrame, basins: BasinSet = BASINS) -> DataFrame:
     """Q4: wells outside the bounds or states of their own basin; one scan for all basins."""
-    inside = basins.in_own_fence(
-        F.col("basin_name"), F.col("state"), F.col("lat"), F.col("lon")
-    )
+    inside = basins.in_own_fence("basin_name", "state", "lat", "lon")
     counts = wells.agg(
         *[
             F.count_if((F.col("basin_name") == b.name) & ~inside).alias(b.name) for b in basins

@@ -16,9 +16,7 @@ cell qualifies only with more than sqrt(pairs_per_task) rows on one side, so it
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from wellkin.functions import geo
 
@@ -30,106 +28,93 @@ _C = ("_cx", "_cy", "_cz")
 
 def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rename every column but ``keep`` to ``prefix + name``, and ``well_id`` to ``id``."""
-    return df.select(
-        *[
-            F.col(c) if c in keep else F.col(c).alias(prefix + ("id" if c == "well_id" else c))
-            for c in df.columns
-        ]
-    )
-
-
-def _neighbours(cell: str) -> Column:
-    return F.explode(F.array(*[F.col(cell) + step for step in (-1, 0, 1)]))
+    names = {c: prefix + ("id" if c == "well_id" else c) for c in df.columns if c not in keep}
+    return df.withColumnsRenamed(names)
 
 
-def _block(df: DataFrame, own: str, other: str, row_id: str) -> DataFrame:
-    """Give a row its own random part and repeat it for every part of the other side."""
-    return df.withColumns(
-        {
-            own: F.pmod(F.xxhash64(row_id), F.col("_parts")).cast("int"),
-            other: F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)),
-        }
-    ).drop("_parts")
+def _split_hot(df: DataFrame, load: DataFrame, cell: list[str], own: str, other: str) -> DataFrame:
+    """Give a row of a hot cell its own part and repeat it for every part of the other side."""
+    side = "target_id" if own == "_tpart" else "candidate_id"
+    return df.join(F.broadcast(load), cell, "left").selectExpr(
+        *df.columns,
+        f"pmod(xxhash64({side}), coalesce(_parts, 1)) AS {own}",
+        f"explode(sequence(0L, coalesce(_parts, 1) - 1)) AS {other}",
+    )
 
 
 def within_radius(
     targets: DataFrame,
     candidates: DataFrame,
-    radius: Column | float,
+    radius: str | float,
     on: tuple[str, ...] = ("basin_name",),
-    where: Column | None = None,
+    where: str = "true",
     pairs_per_task: int = PAIRS_PER_TASK,
 ) -> DataFrame:
     """All (target, candidate) pairs within ``radius`` miles, with ``distance_mi``.
 
     ``targets`` has ``target_id``, ``target_lat``, ``target_lon`` and further ``target_``
     columns, ``candidates`` the same with ``candidate_``; both have the ``on`` columns,
-    which must be equal.  ``radius`` may depend on the ``on`` columns.  ``where`` is tested
-    inside the join, before any exact distance.
+    which must be equal.  ``radius`` is a number or a SQL expression over the ``on``
+    columns.  ``where`` is tested inside the join, before any exact distance.
     """
-    radius = F.lit(radius) if isinstance(radius, (int, float)) else radius
+    radius = f"{float(radius)}D" if isinstance(radius, (int, float)) else radius
     on = list(on)
-
-    left = geo.with_unit_vector(targets, "target_lat", "target_lon", _T).withColumns(
-        {
-            "_radius": radius,
-            "_limit": geo.half_chord_limit(radius),
-            "_band": geo.lat_band(F.col("target_lat"), radius),
-        }
-    )
-    left = left.withColumn(
-        "_col", F.floor(F.col("target_lon") / geo.band_width(F.col("_band"), radius))
+    width = geo.band_width("_band", "_radius")
+
+    left = (
+        targets.selectExpr(
+            "*",
+            f"{radius} AS _radius",
+            f"{geo.half_chord_limit(radius)} AS _limit",
+            f"{geo.reduced_latitude('target_lat')} AS _beta",
+            f"{geo.lat_band('target_lat', radius)} AS _band",
+        )
+        .selectExpr(
+            "*",
+            *geo.unit_vector("_beta", "target_lon", _T),
+            f"floor(target_lon / {width}) AS _col",
+        )
+        .drop("_beta")
     )
-
-    right = geo.with_unit_vector(candidates, "candidate_lat", "candidate_lon", _C)
     right = (
-        right.withColumn("_home", geo.lat_band(F.col("candidate_lat"), radius))
-        .withColumn("_band", _neighbours("_home"))
-        .withColumn(
-            "_home", F.floor(F.col("candidate_lon") / geo.band_width(F.col("_band"), radius))
+        candidates.selectExpr(
+            "*",
+            f"{radius} AS _radius",
+            f"{geo.reduced_latitude('candidate_lat')} AS _beta",
+            f"explode(transform(array(-1, 0, 1), i -> i + "
+            f"{geo.lat_band('candidate_lat', radius)})) AS _band",
+        )
+        .selectExpr(
+            "*",
+            *geo.unit_vector("_beta", "candidate_lon", _C),
+            f"explode(transform(array(-1, 0, 1), i -> i + floor(candidate_lon / {width}))) AS _col",
         )
-        .withColumn("_col", _neighbours("_home"))
-        .drop("_home")
+        .drop("_beta", "_radius")
     )
 
     cell = [*on, "_band", "_col"]
-    one, none = F.lit(1), F.lit(0)
     load = (
-        left.select(*cell, one.alias("_nt"), none.alias("_nc"))
-        .unionByName(right.select(*cell, none.alias("_nt"), one.alias("_nc")))
+        left.selectExpr(*cell, "1 AS _nt", "0 AS _nc")
+        .unionAll(right.selectExpr(*cell, "0 AS _nt", "1 AS _nc"))
         .groupBy(*cell)
-        .agg(F.sum("_nt").alias("_nt"), F.sum("_nc").alias("_nc"))
-        .withColumn("_work", F.col("_nt").cast("double") * F.col("_nc"))
-        .filter(F.col("_work") > pairs_per_task)
-        .select(*cell, F.ceil(F.sqrt(F.col("_work") / pairs_per_task)).cast("int").alias("_parts"))
-    )
-
-    def split(df: DataFrame, own: str, other: str, row_id: str) -> DataFrame:
-        marked = df.join(F.broadcast(load), cell, "left").withColumn(
-            "_parts", F.coalesce("_parts", F.lit(1))
-        )
-        return _block(marked, own, other, row_id)
-
-    left = split(left, "_tpart", "_cpart", "target_id").alias("l")
-    right = split(right, "_cpart", "_tpart", "candidate_id").alias("r")
-    keys = [*cell, "_tpart", "_cpart"]
-    same_cell = reduce(Column.__and__, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
-    close = geo.half_chord_sq(_T, _C) <= F.col("_limit")
-    match = same_cell & close if where is None else same_cell & where & close
-
-    pairs = left.join(right, match).select(
-        *[F.col(f"l.{c}").alias(c) for c in on],
-        *[f"l.{c}" for c in targets.columns if c not in on],
-        *[f"r.{c}" for c in candidates.columns if c not in on],
-        "_radius",
-        *_T,
-        *_C,
+        .agg(F.expr("double(sum(_nt)) * sum(_nc) AS _work"))
+        .filter(f"_work > {pairs_per_task}")
+        .selectExpr(*cell, f"ceil(sqrt(_work / {pairs_per_task})) AS _parts")
     )
-    return (
-        geo.with_distance_mi(pairs, _T, _C)
-        .filter(F.col("distance_mi") <= F.col("_radius"))
-        .drop("_radius", *_T, *_C)
+    left = _split_hot(left, load, cell, "_tpart", "_cpart").alias("l")
+    right = _split_hot(right, load, cell, "_cpart", "_tpart").alias("r")
+    same = " AND ".join(f"l.{k} = r.{k}" for k in [*cell, "_tpart", "_cpart"])
+    close = f"{geo.half_chord_sq(_T, _C)} <= _limit"
+
+    kept = [f"l.{c}" for c in targets.columns] + [
+        f"r.{c}" for c in candidates.columns if c not in on
+    ]
+    names = [c.split(".")[1] for c in kept]
+    pairs = left.join(right, F.expr(f"{same} AND {where} AND {close}")).selectExpr(
+        *kept, "_radius", *_T, *_C
     )
+    near = geo.with_distance_mi(pairs, _T, _C, [*names, "_radius"])
+    return near.filter("distance_mi <= _radius").select(*names, "distance_mi")
 
 
 def top_by_distance(pairs: DataFrame, k: int, rank: str = "analog_rank") -> DataFrame:
@@ -145,11 +130,11 @@ def top_by_distance(pairs: DataFrame, k: int, rank: str = "analog_rank") -> Data
 def nearest_within(
     targets: DataFrame,
     candidates: DataFrame,
-    radius: Column | float,
+    radius: str | float,
     k: int,
     on: tuple[str, ...] = ("basin_name",),
-    where: Column | None = None,
-    near: Column | float | None = None,
+    where: str = "true",
+    near: str | float | None = None,
 ) -> DataFrame:
     """The k nearest candidates within the radius, with ``analog_rank``.
 

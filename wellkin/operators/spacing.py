@@ -22,35 +22,32 @@ def at_start(
     wells = early.select(*columns)
     subject = prefixed(wells, "target_", ("basin_name",))
     other = prefixed(wells, "candidate_", ("basin_name",))
-    existed = (F.col("target_id") != F.col("candidate_id")) & (
-        F.col("candidate_first_prod_date") <= F.col("target_first_prod_date")
-    )
+    existed = "target_id <> candidate_id AND candidate_first_prod_date <= target_first_prod_date"
     inner, outer = radii
     counts = (
         within_radius(subject, other, outer, where=existed)
         .groupBy("target_id")
         .agg(
-            F.count_if(F.col("distance_mi") <= inner).alias("wells_within_1mi_at_start"),
-            F.count("*").alias("wells_within_3mi_at_start"),
+            F.expr(f"count_if(distance_mi <= {inner}) AS wells_within_1mi_at_start"),
+            F.expr("count(*) AS wells_within_3mi_at_start"),
         )
     )
     nearest = (
         nearest_within(
-            subject, other, basins.value("max_distance_miles"), 2, where=existed, near=outer
+            subject, other, basins.sql("max_distance_miles"), 2, where=existed, near=outer
         )
         .groupBy("target_id")
         .agg(
-            F.min("distance_mi").alias("distance_to_nearest_at_start"),
-            F.max(F.when(F.col("analog_rank") == 2, F.col("distance_mi"))).alias(
-                "distance_to_second_nearest_at_start"
+            F.expr("min(distance_mi) AS distance_to_nearest_at_start"),
+            F.expr(
+                "max(CASE WHEN analog_rank = 2 THEN distance_mi END)"
+                " AS distance_to_second_nearest_at_start"
             ),
         )
     )
+    per_well = counts.join(nearest, "target_id", "full").withColumnRenamed("target_id", "well_id")
     return (
         wells.select("basin_name", "well_id")
-        .join(counts, F.col("well_id") == counts["target_id"], "left")
-        .drop("target_id")
-        .join(nearest, F.col("well_id") == nearest["target_id"], "left")
-        .drop("target_id")
+        .join(per_well, "well_id", "left")
         .fillna(SPACING_DEFAULTS)
     )

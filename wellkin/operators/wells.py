@@ -20,7 +20,7 @@ def filter_label(
     raw: DataFrame, basins: BasinSet = BASINS, min_spud: str = SPUD_FLOOR
 ) -> DataFrame:
     """Keep wells inside a basin spudded since the floor, and label them."""
-    place = (F.col("state_abbr"), F.col("surface_lat"), F.col("surface_lng"))
+    place = ("state_abbr", "surface_lat", "surface_lng")
     return (
         raw.filter((F.col("spud_date") >= _date(min_spud)) & basins.in_fence(*place))
         .withColumns(

@@ -141,36 +141,44 @@ class BasinSet:
         """The same basins with some parameters replaced in each."""
         return BasinSet(replace(b, **changes) for b in self.basins)
 
-    def value(self, parameter: str, on: str | Column = "basin_name") -> Column:
-        """Parameter of the row's basin; null where the basin is unknown."""
-        key = F.col(on) if isinstance(on, str) else on
-        return self._pick(lambda b: key == b.name, lambda b: F.lit(getattr(b, parameter)))
+    def sql(self, parameter: str, on: str = "basin_name") -> str:
+        """SQL text of a parameter of the row's basin; null where the basin is unknown."""
+        cases = [f"WHEN '{b.name}' THEN {_sql(getattr(b, parameter))}" for b in self.basins]
+        return f"(CASE {on} {' '.join(cases)} END)"
 
-    def fence(self, basin: Basin, state: Column, lat: Column, lon: Column) -> Column:
+    def value(self, parameter: str, on: str = "basin_name") -> Column:
+        return F.expr(self.sql(parameter, on))
+
+    @staticmethod
+    def fence(basin: Basin, state: str, lat: str, lon: str) -> str:
+        """SQL test whether a place lies in a basin's states and bounds."""
+        states = ", ".join(f"'{s}'" for s in basin.states)
         return (
-            state.isin(*basin.states)
-            & lat.between(basin.lat_min, basin.lat_max)
-            & lon.between(basin.lon_min, basin.lon_max)
+            f"({state} IN ({states}) AND {lat} BETWEEN {basin.lat_min}D AND {basin.lat_max}D"
+            f" AND {lon} BETWEEN {basin.lon_min}D AND {basin.lon_max}D)"
         )
 
-    def in_fence(self, state: Column, lat: Column, lon: Column) -> Column:
+    def in_fence(self, state: str, lat: str, lon: str) -> Column:
         """True where the point lies in any basin: literals only, so the scan sees it."""
-        return reduce(Column.__or__, [self.fence(b, state, lat, lon) for b in self.basins])
+        return F.expr(" OR ".join(self.fence(b, state, lat, lon) for b in self.basins))
 
-    def fence_label(self, state: Column, lat: Column, lon: Column, parameter: str) -> Column:
-        return self._pick(
-            lambda b: self.fence(b, state, lat, lon), lambda b: F.lit(getattr(b, parameter))
-        )
+    def fence_label(self, state: str, lat: str, lon: str, parameter: str) -> Column:
+        cases = [
+            f"WHEN {self.fence(b, state, lat, lon)} THEN {_sql(getattr(b, parameter))}"
+            for b in self.basins
+        ]
+        return F.expr(f"CASE {' '.join(cases)} END")
 
-    def in_own_fence(self, basin_name: Column, state: Column, lat: Column, lon: Column) -> Column:
+    def in_own_fence(self, basin_name: str, state: str, lat: str, lon: str) -> Column:
         """Whether a row lies in the fence of the basin it is labelled with."""
-        return self._pick(
-            lambda b: basin_name == b.name, lambda b: self.fence(b, state, lat, lon)
-        )
+        cases = [
+            f"WHEN '{b.name}' THEN {self.fence(b, state, lat, lon)}" for b in self.basins
+        ]
+        return F.expr(f"CASE {basin_name} {' '.join(cases)} END")
 
-    def api_match(self, well_id: Column, on: str | Column = "basin_name") -> Column:
+    def api_match(self, well_id: Column, on: str = "basin_name") -> Column:
         """Well id starts with one of its basin's prefixes (no prefixes: always true)."""
-        key = F.col(on) if isinstance(on, str) else on
+        key = F.col(on)
         return self._pick(lambda b: key == b.name, lambda b: prefix_match(well_id, b.api_prefixes))
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -207,6 +215,10 @@ def state_match(state: Column, states) -> Column:
     return state.isin(*states) if states else F.lit(True)
 
 
+def _sql(value) -> str:
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
 def _literal(value) -> Column:
     if isinstance(value, (tuple, list)):
         return F.array(*[F.lit(v) for v in value])

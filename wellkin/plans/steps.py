@@ -13,6 +13,8 @@ from wellkin.operators import (
     candidates as pairs_of,
     curves,
     evaluate,
+    features,
+    labels,
     lookup,
     peaks as peak_features,
     production,
@@ -134,6 +136,17 @@ def training_alt(
     )
 
 
+def ranker_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stored training matrix with graded labels, split into training and validation."""
+    split = Steps.of(spark, sf_dir).table(
+        "ranker_training",
+        lambda: labels.split(
+            features.ranking17(labels.graded(training(spark, sf_dir)), keep=("label",))
+        ),
+    )
+    return split.filter("split = 'train'"), split.filter("split = 'valid'")
+
+
 def nearest_analogs(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     early = early_rates(spark, sf_dir)
     return lookup.analogs(early, early, bindings.BOUND_BASINS, k)
@@ -156,11 +169,17 @@ def test_wells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Exact multiples of cents fall on rounding ties that engines break differently.
+_NUDGE = 1e-7
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round every floating column, so results compare across engines."""
+    """Round every floating column, off exact ties, so results compare across engines."""
     return df.select(
         *[
-            F.round(name, digits).alias(name) if kind in ("double", "float") else F.col(name)
+            F.round(F.col(name) + _NUDGE, digits).alias(name)
+            if kind in ("double", "float")
+            else F.col(name)
             for name, kind in df.dtypes
         ]
     )

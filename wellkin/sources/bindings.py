@@ -7,7 +7,7 @@ views prune columns and push filters like the real feeds would.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from wellkin.params import BASINS
 from wellkin.sources.files import with_request_defaults
@@ -27,143 +27,145 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def well_key(k: Column) -> Column:
-    prefix = (
-        F.when(k % 10 == 9, "42").when(k % 2 == 0, "05").when(k % 4 == 1, "33").otherwise("25")
+def _well_id(k: str) -> str:
+    return (
+        f"concat(CASE WHEN {k} % 10 = 9 THEN '42' WHEN {k} % 2 = 0 THEN '05'"
+        f" WHEN {k} % 4 = 1 THEN '33' ELSE '25' END, lpad(string({k}), 8, '0'))"
     )
-    return F.concat(prefix, F.lpad(k.cast("string"), 8, "0"))
 
 
-def spud_date(k: Column) -> Column:
-    return F.date_add(F.lit("1994-07-01").cast("date"), ((k * 37) % 1500).cast("int"))
+def _spud(k: str) -> str:
+    return f"date_add(date'1994-07-01', int(({k} * 37) % 1500))"
+
 
+def _lat(k: str) -> str:
+    return f"IF({k} % 2 = 0, 40D, 47.6D) + (({k} * 7919) % 1000) / 1000D * 0.6D"
 
-def _lat(k: Column) -> Column:
-    return F.when(k % 2 == 0, 40.0).otherwise(47.6) + ((k * 7919) % 1000) / 1000.0 * 0.6
 
+def _lon(k: str) -> str:
+    return f"IF({k} % 2 = 0, -104.8D, -103.6D) + (({k} * 104729) % 997) / 997D * 0.8D"
 
-def _lon(k: Column) -> Column:
-    return F.when(k % 2 == 0, -104.8).otherwise(-103.6) + ((k * 104729) % 997) / 997.0 * 0.8
 
+def _formation(k: str) -> str:
+    return (
+        f"CASE WHEN {k} % 2 = 0 THEN IF({k} div 10 % 2 = 0, 'NIOBRARA', 'CODELL')"
+        f" ELSE IF({k} div 10 % 2 = 0, 'BAKKEN', 'THREE FORKS') END"
+    )
 
-def _formation(k: Column) -> Column:
-    upper = F.floor(k / 10) % 2 == 0
-    return F.when(
-        k % 2 == 0, F.when(upper, "NIOBRARA").otherwise("CODELL")
-    ).otherwise(F.when(upper, "BAKKEN").otherwise("THREE FORKS"))
+
+def _operator(nation: str) -> str:
+    return f"concat('OP', string({nation} % 6))"
 
 
 def well_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    return load(spark, sf_dir, "supplier").select(
-        well_key(k).alias("well_api"),
-        F.col("s_name").alias("well_name"),
-        F.when(
-            k % 29 != 28, F.concat(F.lit("OP"), (F.col("s_nationkey") % 6).cast("string"))
-        ).alias("operator_name"),
-        F.when(k % 10 == 9, "TX")
-        .when(k % 2 == 0, "CO")
-        .when(k % 4 == 1, "ND")
-        .otherwise("MT")
-        .alias("state_abbr"),
-        F.concat(F.lit("County "), (k % 7).cast("string")).alias("county"),
-        _lat(k).alias("surface_lat"),
-        _lon(k).alias("surface_lng"),
-        spud_date(k).alias("spud_date"),
-        F.when(k % 19 != 18, F.date_add(spud_date(k), 120)).alias("completion_date"),
-        F.when(k % 3 == 2, "GAS").otherwise("OIL").alias("well_type"),
-        F.when(k % 8 == 7, "Vertical").otherwise("Horizontal").alias("drill_type"),
-        F.when(k % 17 != 16, _formation(k)).alias("reservoir"),
-        F.when(k % 23 != 22, (8000 + (k * 613) % 4000).cast("int")).alias("lateral_length"),
-        (8_000_000 + (k * 7561) % 12_000_000).alias("proppant_lbs"),
-        (300_000 + (k * 977) % 400_000).cast("double").alias("water_gals"),
-    )
+    return load(spark, sf_dir, "supplier").selectExpr(*_headers("s_suppkey"))
+
+
+def _headers(k: str) -> list[str]:
+    return [
+        f"{_well_id(k)} AS well_api",
+        "s_name AS well_name",
+        f"IF({k} % 29 <> 28, {_operator('s_nationkey')}, NULL) AS operator_name",
+        f"CASE WHEN {k} % 10 = 9 THEN 'TX' WHEN {k} % 2 = 0 THEN 'CO'"
+        f" WHEN {k} % 4 = 1 THEN 'ND' ELSE 'MT' END AS state_abbr",
+        f"concat('County ', string({k} % 7)) AS county",
+        f"{_lat(k)} AS surface_lat",
+        f"{_lon(k)} AS surface_lng",
+        f"{_spud(k)} AS spud_date",
+        f"IF({k} % 19 <> 18, date_add({_spud(k)}, 120), NULL) AS completion_date",
+        f"IF({k} % 3 = 2, 'GAS', 'OIL') AS well_type",
+        f"IF({k} % 8 = 7, 'Vertical', 'Horizontal') AS drill_type",
+        f"IF({k} % 17 <> 16, {_formation(k)}, NULL) AS reservoir",
+        f"IF({k} % 23 <> 22, int(8000 + ({k} * 613) % 4000), NULL) AS lateral_length",
+        f"8000000 + ({k} * 7561) % 12000000 AS proppant_lbs",
+        f"double(300000 + ({k} * 977) % 400000) AS water_gals",
+    ]
 
 
 def legacy_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.substring("well_api", 3, 8).cast("bigint")
-    spud = F.col("spud_date")
-    return well_headers(spark, sf_dir).withColumns(
-        {
-            "universal_doc_no": F.concat(F.lit("DOC-"), k.cast("string")),
-            "basin_name": F.when(k % 2 == 0, "Denver Basin").otherwise("Williston"),
-            "measured_depth": (15000 + (k * 31) % 6000).cast("int"),
-            "true_vertical_depth": (6000 + (k * 17) % 2000).cast("int"),
-            "well_status": F.when(k % 11 == 10, "SHUT IN").otherwise("PRODUCING"),
-            "permit_date": F.when(k % 13 != 12, F.date_sub(spud, 60).cast("timestamp")),
-        }
+    k = "s_suppkey"
+    return load(spark, sf_dir, "supplier").selectExpr(
+        *_headers(k),
+        f"concat('DOC-', string({k})) AS universal_doc_no",
+        f"IF({k} % 2 = 0, 'Denver Basin', 'Williston') AS basin_name",
+        f"int(15000 + ({k} * 31) % 6000) AS measured_depth",
+        f"int(6000 + ({k} * 17) % 2000) AS true_vertical_depth",
+        f"IF({k} % 11 = 10, 'SHUT IN', 'PRODUCING') AS well_status",
+        f"IF({k} % 13 <> 12, timestamp(date_sub({_spud(k)}, 60)), NULL) AS permit_date",
     )
 
 
-def _feed(spark: SparkSession, sf_dir: str, skip_flag: str, quantity: Column) -> DataFrame:
-    k = F.col("l_suppkey")
+def _feed(spark: SparkSession, sf_dir: str, skip_flag: str, quantity: str) -> DataFrame:
+    """One feed row per well and month; the well's spud date is a function of its key."""
+    k = "l_suppkey"
+    lines = load(spark, sf_dir, "lineitem").filter(
+        f"l_returnflag <> '{skip_flag}' AND l_shipdate >= {_spud(k)}"
+    )
     return (
-        load(spark, sf_dir, "lineitem")
-        .filter((F.col("l_returnflag") != skip_flag) & (F.col("l_shipdate") >= spud_date(k)))
-        .groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("production_date"))
-        .agg(quantity.cast("double").alias("production_quantity"))
-        .select(well_key(k).alias("state_well_id"), "production_date", "production_quantity")
+        lines.selectExpr(k, "trunc(l_shipdate, 'month') AS production_date", f"{quantity} AS q")
+        .groupBy(k, "production_date")
+        .sum("q")
+        .selectExpr(
+            f"{_well_id(k)} AS state_well_id",
+            "production_date",
+            "double(`sum(q)`) AS production_quantity",
+        )
     )
 
 
 def liquids_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _feed(spark, sf_dir, "R", F.sum(F.col("l_extendedprice").cast("decimal(18,2)")))
+    return _feed(spark, sf_dir, "R", "CAST(l_extendedprice AS DECIMAL(18, 2))")
 
 
 def gas_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _feed(spark, sf_dir, "A", F.sum("l_quantity"))
+    return _feed(spark, sf_dir, "A", "l_quantity")
 
 
 def rigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    spud = F.date_add(F.lit("1998-01-01").cast("date"), (k % 1500).cast("int"))
-    return load(spark, sf_dir, "customer").select(
-        F.when(k % 31 != 30, F.concat(F.lit("R"), k.cast("string"))).alias("rig_id"),
-        F.concat(F.lit("L"), (k % 400).cast("string")).alias("rig_location_id"),
-        F.col("c_name").alias("name"),
-        F.when(k % 13 != 12, 40.0 + (k % 500) / 500.0).alias("latitude"),
-        (-104.8 + (k % 700) / 700.0).alias("longitude"),
-        F.concat(F.lit("OP"), (F.col("c_nationkey") % 6).cast("string")).alias("operator_name"),
-        F.concat(F.lit("Driller "), (k % 9).cast("string")).alias("driller"),
-        well_key(k).alias("well_api"),
-        F.when(k % 2 == 0, "CO").otherwise("ND").alias("state_abbr"),
-        F.concat(F.lit("County "), (k % 7).cast("string")).alias("county_name"),
-        F.when(k % 2 == 0, "Denver Basin").otherwise("Williston").alias("basin_name"),
-        F.date_add(spud, 30).cast("timestamp").alias("last_reported"),
-        F.when(k % 7 != 6, spud.cast("timestamp")).alias("spud_date"),
-        F.date_sub(spud, 45).cast("timestamp").alias("permit_date"),
-        F.when(k % 5 == 4, "Vertical").otherwise("Horizontal").alias("drill_type"),
-        _formation(k).alias("reservoir"),
-        F.lit("feed").alias("source"),
-        F.when(k % 3 == 0, "field").otherwise("office").alias("source_type"),
-        F.when(k % 4 == 0, "Y").otherwise("N").alias("pad_reported"),
-        F.lit("gps").alias("coords_source"),
+    k = "c_custkey"
+    spud = f"date_add(date'1998-01-01', int({k} % 1500))"
+    return load(spark, sf_dir, "customer").selectExpr(
+        f"IF({k} % 31 <> 30, concat('R', string({k})), NULL) AS rig_id",
+        f"concat('L', string({k} % 400)) AS rig_location_id",
+        "c_name AS name",
+        f"IF({k} % 13 <> 12, 40D + ({k} % 500) / 500D, NULL) AS latitude",
+        f"-104.8D + ({k} % 700) / 700D AS longitude",
+        f"{_operator('c_nationkey')} AS operator_name",
+        f"concat('Driller ', string({k} % 9)) AS driller",
+        f"{_well_id(k)} AS well_api",
+        f"IF({k} % 2 = 0, 'CO', 'ND') AS state_abbr",
+        f"concat('County ', string({k} % 7)) AS county_name",
+        f"IF({k} % 2 = 0, 'Denver Basin', 'Williston') AS basin_name",
+        f"timestamp(date_add({spud}, 30)) AS last_reported",
+        f"IF({k} % 7 <> 6, timestamp({spud}), NULL) AS spud_date",
+        f"timestamp(date_sub({spud}, 45)) AS permit_date",
+        f"IF({k} % 5 = 4, 'Vertical', 'Horizontal') AS drill_type",
+        f"{_formation(k)} AS reservoir",
+        "'feed' AS source",
+        f"IF({k} % 3 = 0, 'field', 'office') AS source_type",
+        f"IF({k} % 4 = 0, 'Y', 'N') AS pad_reported",
+        "'gps' AS coords_source",
     )
 
 
 def forecast_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planned wells, a few of them far from every producing well."""
-    k = F.col("c_custkey")
-    far = k % 50 == 49
-    raw = load(spark, sf_dir, "customer").select(
-        F.concat(F.lit("NEW"), k.cast("string")).alias("well_id"),
-        F.when(far, 35.0).otherwise(_lat(k)).alias("lat"),
-        F.when(far, -99.0).otherwise(_lon(k)).alias("lon"),
-        _formation(k).alias("formation"),
-        (8000 + (k * 431) % 4000).cast("double").alias("lateral_length"),
-        F.when(k % 5 != 4, 900.0 + (k * 13) % 1200).alias("proppant_per_ft"),
-        F.when(k % 6 != 5, 30.0 + (k % 40)).alias("fluid_per_ft"),
-        F.when(
-            k % 4 != 3, F.concat(F.lit("OP"), (F.col("c_nationkey") % 6).cast("string"))
-        ).alias("operator"),
-        F.when(
-            k % 3 != 2, F.date_add(F.lit("1997-01-01").cast("date"), (k % 1200).cast("int"))
-        ).alias("planned_date"),
+    """Planned wells, some of them far from every producing well."""
+    k = "c_custkey"
+    raw = load(spark, sf_dir, "customer").selectExpr(
+        f"concat('NEW', string({k})) AS well_id",
+        f"IF({k} % 50 = 49, 35D, {_lat(k)}) AS lat",
+        f"IF({k} % 50 = 49, -99D, {_lon(k)}) AS lon",
+        f"{_formation(k)} AS formation",
+        f"double(8000 + ({k} * 431) % 4000) AS lateral_length",
+        f"IF({k} % 5 <> 4, double(900 + ({k} * 13) % 1200), NULL) AS proppant_per_ft",
+        f"IF({k} % 6 <> 5, double(30 + {k} % 40), NULL) AS fluid_per_ft",
+        f"IF({k} % 4 <> 3, {_operator('c_nationkey')}, NULL) AS operator",
+        f"IF({k} % 3 <> 2, date_add(date'1997-01-01', int({k} % 1200)), NULL) AS planned_date",
     )
     return with_request_defaults(raw)
 
 
 def curve_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")
+    return load(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id", "label", "CAST(embedding AS ARRAY<DOUBLE>) AS embedding"
     )
