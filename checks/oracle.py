@@ -464,7 +464,7 @@ def with_(sql):
 
 
 def off_ties(sql):
-    """Move every value off exact rounding ties before it is rounded to four digits."""
+    """Move every value off exact rounding ties before its final rounding (", 4" or ", 02")."""
     out, start = "", 0
     while (at := sql.find("round(", start)) >= 0:
         depth, end = 1, at + 6
@@ -472,14 +472,15 @@ def off_ties(sql):
             depth += {"(": 1, ")": -1}.get(sql[end], 0)
             end += 1
         body = sql[at + 6 : end - 1]
-        if body.endswith(", 4"):
-            body = f"({body[:-3]}) + {NUDGE}, 4"
+        if body.endswith((", 4", ", 02")):
+            value, digits = body.rsplit(", ", 1)
+            body = f"({value}) + {NUDGE}, {int(digits)}"
         out, start = out + sql[start:at] + f"round({body})", end
     return out + sql[start:]
 
 
-def r(*names, source=""):
-    return ", ".join(f"round({source}{n}, 4) AS {n}" for n in names)
+def r(*names, source="", digits="4"):
+    return ", ".join(f"round({source}{n}, {digits}) AS {n}" for n in names)
 
 
 def flog(x):
@@ -697,16 +698,16 @@ WITH n AS (SELECT target_id, count(DISTINCT candidate_id) AS n FROM chosen GROUP
  p AS (SELECT target_id, s, ('0x' || substr(h, j::INT * 4 + 1, 4))::BIGINT % n + 1 AS pick FROM d JOIN range(20) AS y(j) ON y.j < d.n),
  m AS (SELECT p.target_id, p.s, c.m, avg(c.oil) AS mean FROM p JOIN chosen c ON c.target_id = p.target_id AND c.analog_rank = p.pick GROUP BY 1, 2, 3)
 SELECT target_id, m + 1 AS month, round(quantile_cont(mean, 0.1), 4) AS p10_oil, round(quantile_cont(mean, 0.9), 4) AS p90_oil FROM m GROUP BY 1, 2""",
-    "softmax_forecast": "SELECT target_id, n_analogs, round(c.p10, 4) AS p10_cum_9mo, round(c.p50, 4) AS p50_cum_9mo, round(c.p90, 4) AS p90_cum_9mo, m + 1 AS month, round(p10_oil, 4) AS p10_oil, round(p50_oil, 4) AS p50_oil, round(p90_oil, 4) AS p90_oil FROM request_curves JOIN (SELECT target_id, sum(p10_oil) AS p10, sum(p50_oil) AS p50, sum(p90_oil) AS p90 FROM request_curves GROUP BY 1) c USING (target_id)",
+    "softmax_forecast": "SELECT target_id, n_analogs, round(c.p10, 02) AS p10_cum_9mo, round(c.p50, 02) AS p50_cum_9mo, round(c.p90, 02) AS p90_cum_9mo, m + 1 AS month, round(p10_oil, 02) AS p10_oil, round(p50_oil, 02) AS p50_oil, round(p90_oil, 02) AS p90_oil FROM request_curves JOIN (SELECT target_id, sum(p10_oil) AS p10, sum(p50_oil) AS p50, sum(p90_oil) AS p90 FROM request_curves GROUP BY 1) c USING (target_id)",
     "analog_details": """
 SELECT q.target_id, g.mean_distance_mi, g.formation_match_pct, g.avg_vintage_gap, rk AS analog_rank, candidate_id AS well_id,
   round(distance_mi, 1) AS distance_mi, round(score, 2) AS score, candidate_operator AS operator,
   candidate_formation AS formation, candidate_lateral AS lateral_length, year(candidate_first) AS vintage_year, round(weight * 100, 1) AS weight
 FROM request_chosen q JOIN (SELECT target_id, round(avg(distance_mi), 1) AS mean_distance_mi, round(avg(formation_match) * 100, 1) AS formation_match_pct,
   round(avg(vintage_years), 1) AS avg_vintage_gap FROM request_chosen GROUP BY 1) g USING (target_id) WHERE rk <= 10""",
-    "batch_forecast": f"SELECT well_id, formation, proppant_per_ft, fluid_per_ft, error, n_analogs, {r('p10_cum_9mo', 'p50_cum_9mo', 'p90_cum_9mo')}, avg_distance_mi FROM request_fc",
-    "forecast_long_export": "SELECT well_id, round(lat, 4) AS lat, round(lon, 4) AS lon, formation, lateral_length, f.n_analogs, m + 1 AS month, round(p10_oil, 4) AS p10_oil, round(p50_oil, 4) AS p50_oil, round(p90_oil, 4) AS p90_oil FROM request_fc f JOIN request_curves c ON c.target_id = f.well_id",
-    "forecast_summary": "SELECT count(*) AS processed, count(CASE WHEN error IS NULL THEN 1 END) AS success, count(error) AS failures, round(avg(p50_cum_9mo), 4) AS avg_p50_cum_9mo FROM request_fc",
+    "batch_forecast": f"SELECT well_id, formation, proppant_per_ft, fluid_per_ft, error, n_analogs, {r('p10_cum_9mo', 'p50_cum_9mo', 'p90_cum_9mo', digits='02')}, avg_distance_mi FROM request_fc",
+    "forecast_long_export": "SELECT well_id, round(lat, 02) AS lat, round(lon, 02) AS lon, formation, lateral_length, f.n_analogs, m + 1 AS month, round(p10_oil, 02) AS p10_oil, round(p50_oil, 02) AS p50_oil, round(p90_oil, 02) AS p90_oil FROM request_fc f JOIN request_curves c ON c.target_id = f.well_id",
+    "forecast_summary": "SELECT count(*) AS processed, count(CASE WHEN error IS NULL THEN 1 END) AS success, count(error) AS failures, round(avg(p50_cum_9mo), 02) AS avg_p50_cum_9mo FROM request_fc",
     "test_wells": f"SELECT t.well_id, operator_name, formation, basin_name, first_prod_date, m + 1 AS month, {r('lat', 'lon', 'lateral_length', 'proppant_per_ft', 'fluid_per_ft', 'oil', 'gas')} FROM test_set t JOIN test_curve c USING (well_id)",
     "weighted_mae": f"SELECT target_id, basin_name, n_analogs, {r('weighted_mae')} FROM mae",
     "error_stats": "SELECT basin_name, round(median(weighted_mae), 4) AS median, round(avg(weighted_mae), 4) AS mean, round(stddev_pop(weighted_mae), 4) AS std, round(quantile_cont(weighted_mae, 0.1), 4) AS p10, round(quantile_cont(weighted_mae, 0.9), 4) AS p90, count(*) AS n_wells FROM mae GROUP BY 1",

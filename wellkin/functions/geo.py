@@ -52,23 +52,35 @@ def half_chord_limit(radius_miles: str) -> str:
     return f"sin({half_angle}) * sin({half_angle})"
 
 
+def _miles(h: str, sigma: str, sine: str, za: str, zb: str) -> str:
+    """Distance from the half chord, the central angle, its sine and the two z components."""
+    middle, half_gap = f"(({za} + {zb}) / 2)", f"(({zb} - {za}) / 2)"
+    bend = (
+        f"(({sigma} - {sine}) * {middle} * {middle} / (1 - {h})"
+        f" + ({sigma} + {sine}) * {half_gap} * {half_gap} / nullif({h}, 0D))"
+    )
+    metres = f"{SEMI_MAJOR_M}D * ({sigma} - {FLATTENING / 2!r}D * {bend})"
+    return f"coalesce({metres} / {METRES_PER_MILE}D, 0D)"
+
+
+def distance_mi(a: tuple[str, str, str], b: tuple[str, str, str]) -> str:
+    """The spheroidal distance as one expression.
+
+    It repeats the half chord, so a join should test it last, on the few pairs that the
+    cheap chord test lets through.
+    """
+    h = f"({half_chord_sq(a, b)})"
+    return _miles(h, f"(2 * asin(sqrt({h})))", f"(2 * sqrt({h} * (1 - {h})))", a[2], b[2])
+
+
 def with_distance_mi(
     df: DataFrame, a: tuple[str, str, str], b: tuple[str, str, str], keep: list[str]
 ) -> DataFrame:
-    """``keep`` plus ``distance_mi``, the spheroidal distance between two unit vectors."""
-    parts = df.selectExpr(
-        *keep,
-        f"{half_chord_sq(a, b)} AS _h",
-        f"({a[2]} + {b[2]}) / 2 AS _zm",
-        f"({b[2]} - {a[2]}) / 2 AS _zd",
-    ).selectExpr("*", "2 * asin(sqrt(_h)) AS _sigma", "2 * sqrt(_h * (1 - _h)) AS _sin")
-    bend = (
-        "((_sigma - _sin) * _zm * _zm / (1 - _h)"
-        " + (_sigma + _sin) * _zd * _zd / nullif(_h, 0D))"
-    )
-    metres = f"{SEMI_MAJOR_M}D * (_sigma - {FLATTENING / 2!r}D * {bend})"
-    return parts.selectExpr(
-        *keep, f"coalesce({metres} / {METRES_PER_MILE}D, 0D) AS distance_mi"
+    """``keep`` plus ``distance_mi``, its shared parts computed once per row."""
+    return (
+        df.selectExpr(*keep, a[2], b[2], f"{half_chord_sq(a, b)} AS _h")
+        .selectExpr("*", "2 * asin(sqrt(_h)) AS _sigma", "2 * sqrt(_h * (1 - _h)) AS _sine")
+        .selectExpr(*keep, f"{_miles('_h', '_sigma', '_sine', a[2], b[2])} AS distance_mi")
     )
 
 

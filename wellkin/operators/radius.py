@@ -48,6 +48,7 @@ def within_radius(
     radius: str | float,
     on: tuple[str, ...] = ("basin_name",),
     where: str = "true",
+    skip: DataFrame | None = None,
     pairs_per_task: int = PAIRS_PER_TASK,
 ) -> DataFrame:
     """All (target, candidate) pairs within ``radius`` miles, with ``distance_mi``.
@@ -55,7 +56,12 @@ def within_radius(
     ``targets`` has ``target_id``, ``target_lat``, ``target_lon`` and further ``target_``
     columns, ``candidates`` the same with ``candidate_``; both have the ``on`` columns,
     which must be equal.  ``radius`` is a number or a SQL expression over the ``on``
-    columns.  ``where`` is tested inside the join, before any exact distance.
+    columns.  ``where`` is tested inside the join, before any exact distance.  Targets whose
+    id is in ``skip`` take no part.
+
+    All tests stand in the join condition, cheapest first: a filter on the distance after
+    the join would be pushed in front of them and run the full formula on every pair of a
+    cell.
     """
     radius = f"{float(radius)}D" if isinstance(radius, (int, float)) else radius
     on = list(on)
@@ -101,20 +107,20 @@ def within_radius(
         .filter(f"_work > {pairs_per_task}")
         .selectExpr(*cell, f"ceil(sqrt(_work / {pairs_per_task})) AS _parts")
     )
+    if skip is not None:
+        left = left.join(skip, "target_id", "left_anti").select(*left.columns)
     left = _split_hot(left, load, cell, "_tpart", "_cpart").alias("l")
     right = _split_hot(right, load, cell, "_cpart", "_tpart").alias("r")
     same = " AND ".join(f"l.{k} = r.{k}" for k in [*cell, "_tpart", "_cpart"])
-    close = f"{geo.half_chord_sq(_T, _C)} <= _limit"
+    close = f"{geo.half_chord_sq(_T, _C)} <= _limit AND {geo.distance_mi(_T, _C)} <= _radius"
 
     kept = [f"l.{c}" for c in targets.columns] + [
         f"r.{c}" for c in candidates.columns if c not in on
     ]
-    names = [c.split(".")[1] for c in kept]
     pairs = left.join(right, F.expr(f"{same} AND {where} AND {close}")).selectExpr(
-        *kept, "_radius", *_T, *_C
+        *kept, *_T, *_C
     )
-    near = geo.with_distance_mi(pairs, _T, _C, [*names, "_radius"])
-    return near.filter("distance_mi <= _radius").select(*names, "distance_mi")
+    return geo.with_distance_mi(pairs, _T, _C, [c.split(".")[1] for c in kept])
 
 
 def top_by_distance(pairs: DataFrame, k: int, rank: str = "analog_rank") -> DataFrame:
@@ -155,7 +161,5 @@ def nearest_within(
         .drop("_found")
     )
     done = first.filter(F.col("analog_rank") == k).select("target_id")
-    rest = targets.join(done, "target_id", "left_anti")
-    rest = rest.select(*targets.columns)
-    second = top_by_distance(within_radius(rest, candidates, radius, on, where), k)
+    second = top_by_distance(within_radius(targets, candidates, radius, on, where, done), k)
     return complete.unionByName(second)
