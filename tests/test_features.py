@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wellkin.functions import series
 from wellkin.functions.matching import formation_score
-from wellkin.operators import embeddings, features, labels, peaks, wells
+from wellkin.operators import embeddings, features, labels, peaks, percentiles, wells
 from wellkin.params import BASINS, revenue_weights
 
 
@@ -164,6 +164,28 @@ def test_embeddings_match_an_eigen_decomposition(spark):
     assert [r.month for r in months.collect()] == (np.argsort(first)[::-1][:3] + 1).tolist()
 
 
+@pytest.mark.parametrize("small_group", [100_000, 50])
+def test_exact_percentiles_match_numpy(spark, small_group):
+    rng = np.random.default_rng(4)
+    groups = {
+        "wide": rng.lognormal(3, 2, 150_000),
+        "ties": rng.integers(0, 4, 140_000).astype(float),
+        "few": np.array([3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0]),
+        "one": np.array([7.0]),
+    }
+    import pandas as pd
+
+    frame = spark.createDataFrame(
+        pd.concat(pd.DataFrame({"g": k, "v": v}) for k, v in groups.items())
+    )
+    if small_group < 1000:
+        frame = frame.filter("g in ('wide', 'ties')")
+    ranks = {"a": 0.1, "b": 0.5, "c": 0.9, "d": 1.0}
+    for row in percentiles.exact(frame, ["g"], "v", ranks, small_group).collect():
+        want = np.percentile(groups[row.g], [10, 50, 90, 100])
+        assert [row.a, row.b, row.c, row.d] == pytest.approx(want, rel=1e-12)
+
+
 def test_cosine_of_missing_is_zero_and_in_range(spark):
     frame = spark.createDataFrame(
         [([1.0, 2.0], [1.0, 2.0]), ([1.0, 0.0], [-1.0, 0.0]), (None, [1.0, 1.0])],

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wellkin.functions import series
 from wellkin.functions.matching import ratio, same_formation, same_operator, year_gap
+from wellkin.operators import percentiles
 from wellkin.operators.radius import prefixed, within_radius
 from wellkin.params import BASINS, BasinSet
 
@@ -123,13 +124,12 @@ def _percent(flag: str) -> Column:
 
 
 def stats(pairs: DataFrame) -> DataFrame:
-    """Pool statistics per basin."""
-    return pairs.groupBy("basin_name").agg(
+    """Pool statistics per basin, the median by `percentiles.exact`."""
+    plain = pairs.groupBy("basin_name").agg(
         F.count_distinct("target_id").alias("unique_targets"),
         F.count_distinct("candidate_id").alias("unique_candidates"),
         F.count("*").alias("total_pairs"),
         F.avg("distance_mi").alias("avg_distance_mi"),
-        F.percentile("distance_mi", F.lit(0.5)).alias("median_distance_mi"),
         _percent("formation_match").alias("pct_formation_match"),
         _percent("same_operator").alias("pct_same_operator"),
         F.avg("vintage_gap_years").alias("avg_vintage_gap"),
@@ -140,10 +140,15 @@ def stats(pairs: DataFrame) -> DataFrame:
         F.avg("distance_to_nearest_at_start").alias("avg_nearest_mi"),
         F.avg("distance_to_second_nearest_at_start").alias("avg_second_nearest_mi"),
     )
+    median = percentiles.exact(pairs, ["basin_name"], "distance_mi", {"median_distance_mi": 0.5})
+    return plain.join(median, "basin_name")
 
 
 def per_target(pairs: DataFrame) -> DataFrame:
-    """How many candidates the targets of a basin have."""
+    """How many candidates the targets of a basin have.
+
+    The median sees whole numbers, of which P pairs allow at most sqrt(2 P) different ones.
+    """
     counts = pairs.groupBy("basin_name", "target_id").agg(F.count("*").alias("n"))
     return counts.groupBy("basin_name").agg(
         F.avg("n").alias("avg_candidates_per_target"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wellkin.functions import series
+from wellkin.operators import percentiles
 
 _FLUIDS = ("oil", "gas")
 
@@ -62,23 +63,23 @@ def summary(peaks: DataFrame) -> DataFrame:
             ]
         )
     )
-    return (
-        peaks.select(measures.alias("m"))
-        .groupBy(F.col("m.measure").alias("measure"))
-        .agg(
-            F.count("m.value").alias("wells"),
-            F.avg("m.value").alias("mean"),
-            F.median("m.value").alias("median"),
-            F.min("m.value").alias("min"),
-            F.max("m.value").alias("max"),
-            F.stddev_samp("m.value").alias("std"),
-        )
+    long = peaks.select(measures.alias("m")).select("m.measure", "m.value")
+    plain = long.groupBy("measure").agg(
+        F.count("value").alias("wells"),
+        F.avg("value").alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.stddev_samp("value").alias("std"),
     )
+    return plain.join(percentiles.exact(long, ["measure"], "value", {"median": 0.5}), "measure")
 
 
 def by_basin(peaks: DataFrame) -> DataFrame:
     """wells per basin and the share that peak in months 1-3."""
-    early = lambda f: F.avg(F.when(F.col(f"peak_{f}_month") <= 3, 100.0).otherwise(0.0))
+
+    def early(fluid: str) -> Column:
+        return F.avg(F.when(F.col(f"peak_{fluid}_month") <= 3, 100.0).otherwise(0.0))
+
     return peaks.groupBy("basin_name").agg(
         F.count("*").alias("wells"),
         F.count_if(F.col("peak_oil_month") <= 3).alias("early_oil_peaks"),

@@ -865,7 +865,7 @@ def weighted_mae(spark, sf):
 
 @query
 def error_stats(spark, sf):
-    return evaluate.error_stats(steps.baseline_scores(steps.early_rates(spark, sf)), "basin_name")
+    return evaluate.error_stats(steps.stored_scores(spark, sf))
 
 
 @query
@@ -875,18 +875,29 @@ def outcome_counts(spark, sf):
 
 
 def _back_test(spark, sf):
-    """Errors of both models on the test wells."""
-    tests, early = steps.test_wells(spark, sf), steps.early_rates(spark, sf)
-    found = lookup.with_curves(lookup.analogs(tests, early, BASINS), early)
-    plain = evaluate.score(baseline.median(found), tests)
-    ranked = evaluate.score(forecast.ranked_mean(_chosen(spark, sf)), tests)
-    return plain, ranked
+    """Stored forecasts and errors of both models on the test wells."""
+
+    def build():
+        tests, early = steps.test_wells(spark, sf), steps.early_rates(spark, sf)
+        found = lookup.with_curves(lookup.analogs(tests, early, BASINS), early)
+        models = {
+            "baseline": baseline.median(found),
+            "ranked": forecast.ranked_mean(_chosen(spark, sf)),
+        }
+        scored = [
+            evaluate.score(made, tests).select(
+                F.lit(name).alias("model"), "target_id", "basin_name", "p50_oil", "weighted_mae"
+            )
+            for name, made in models.items()
+        ]
+        return scored[0].unionByName(scored[1])
+
+    table = steps.Steps.of(spark, sf).table("back_test", build, "model")
+    return [table.filter(F.col("model") == m).drop("model") for m in ("baseline", "ranked")]
 
 
 def _comparison(plain, ranked):
-    return evaluate.compare(
-        evaluate.error_stats(plain, "basin_name"), evaluate.error_stats(ranked, "basin_name")
-    )
+    return evaluate.compare(evaluate.error_stats(plain), evaluate.error_stats(ranked))
 
 
 @query

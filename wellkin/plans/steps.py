@@ -163,6 +163,16 @@ def baseline_scores(early: DataFrame) -> DataFrame:
     return evaluate.score(baseline_forecast(early), early)
 
 
+def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors alone, stored: the statistics read them several times."""
+    return Steps.of(spark, sf_dir).table(
+        "baseline_scores",
+        lambda: baseline_scores(early_rates(spark, sf_dir)).select(
+            "target_id", "basin_name", "n_analogs", "weighted_mae"
+        ),
+    )
+
+
 def test_wells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.test_wells(
         model_wells(spark, sf_dir), model_prod(spark, sf_dir), bindings.TEST_YEAR
