@@ -12,8 +12,6 @@ them many times over.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-
 SEMI_MAJOR_M = 6378137.0
 FLATTENING = 1 / 298.257223563
 METRES_PER_MILE = 1609.34
@@ -30,14 +28,13 @@ def reduced_latitude(lat: str) -> str:
     return f"atan({1 - FLATTENING!r}D * tan(radians({lat})))"
 
 
-def unit_vector(beta: str, lon: str, names: tuple[str, str, str]) -> list[str]:
-    """Select expressions of the unit vector at a reduced latitude and a longitude."""
+def unit_vector(beta: str, lon: str, names: tuple[str, str, str]) -> str:
+    """Select list of the unit vector at a reduced latitude and a longitude."""
     x, y, z = names
-    return [
-        f"cos({beta}) * cos(radians({lon})) AS {x}",
-        f"cos({beta}) * sin(radians({lon})) AS {y}",
-        f"sin({beta}) AS {z}",
-    ]
+    return (
+        f"cos({beta}) * cos(radians({lon})) AS {x}, cos({beta}) * sin(radians({lon})) AS {y},"
+        f" sin({beta}) AS {z}"
+    )
 
 
 def half_chord_sq(a: tuple[str, str, str], b: tuple[str, str, str]) -> str:
@@ -52,7 +49,7 @@ def half_chord_limit(radius_miles: str) -> str:
     return f"sin({half_angle}) * sin({half_angle})"
 
 
-def _miles(h: str, sigma: str, sine: str, za: str, zb: str) -> str:
+def miles(h: str, sigma: str, sine: str, za: str, zb: str) -> str:
     """Distance from the half chord, the central angle, its sine and the two z components."""
     middle, half_gap = f"(({za} + {zb}) / 2)", f"(({zb} - {za}) / 2)"
     bend = (
@@ -67,21 +64,10 @@ def distance_mi(a: tuple[str, str, str], b: tuple[str, str, str]) -> str:
     """The spheroidal distance as one expression.
 
     It repeats the half chord, so a join should test it last, on the few pairs that the
-    cheap chord test lets through.
+    cheap chord test lets through; a select list should name the parts and use `miles`.
     """
     h = f"({half_chord_sq(a, b)})"
-    return _miles(h, f"(2 * asin(sqrt({h})))", f"(2 * sqrt({h} * (1 - {h})))", a[2], b[2])
-
-
-def with_distance_mi(
-    df: DataFrame, a: tuple[str, str, str], b: tuple[str, str, str], keep: list[str]
-) -> DataFrame:
-    """``keep`` plus ``distance_mi``, its shared parts computed once per row."""
-    return (
-        df.selectExpr(*keep, a[2], b[2], f"{half_chord_sq(a, b)} AS _h")
-        .selectExpr("*", "2 * asin(sqrt(_h)) AS _sigma", "2 * sqrt(_h * (1 - _h)) AS _sine")
-        .selectExpr(*keep, f"{_miles('_h', '_sigma', '_sine', a[2], b[2])} AS distance_mi")
-    )
+    return miles(h, f"(2 * asin(sqrt({h})))", f"(2 * sqrt({h} * (1 - {h})))", a[2], b[2])
 
 
 def lat_band(lat: str, radius_miles: str) -> str:

@@ -30,12 +30,14 @@ def analogs(
     k: int = 20,
     radius: str | float | None = None,
     tolerance: float | None = None,
-    near_share: float | None = 0.25,
+    near_share: float | None = None,
 ) -> DataFrame:
     """The k nearest same-formation wells that started strictly before the target.
 
     Formation is a join key, so it splits the cells as well.  Targets without formation or
-    lateral find nothing.
+    lateral find nothing.  One pass costs no more than building the candidate table; where
+    targets see many times k candidates, ``near_share`` (0.25, say) first searches that share
+    of the radius and sends only incomplete targets to the whole of it.
     """
     on = ("basin_name", "formation")
     reach = basins.sql("max_distance_miles") if radius is None else radius

@@ -32,16 +32,6 @@ def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFram
     return df.withColumnsRenamed(names)
 
 
-def _split_hot(df: DataFrame, load: DataFrame, cell: list[str], own: str, other: str) -> DataFrame:
-    """Give a row of a hot cell its own part and repeat it for every part of the other side."""
-    side = "target_id" if own == "_tpart" else "candidate_id"
-    return df.join(F.broadcast(load), cell, "left").selectExpr(
-        *df.columns,
-        f"pmod(xxhash64({side}), coalesce(_parts, 1)) AS {own}",
-        f"explode(sequence(0L, coalesce(_parts, 1) - 1)) AS {other}",
-    )
-
-
 def within_radius(
     targets: DataFrame,
     candidates: DataFrame,
@@ -67,67 +57,61 @@ def within_radius(
     the join would be pushed in front of them and run the full formula on every pair of a
     cell.
     """
+    spark = targets.sparkSession
     radius = f"{float(radius)}D" if isinstance(radius, (int, float)) else radius
-    on = list(on)
+    cell = ", ".join([*on, "_band", "_col"])
+    keys = f"{cell}, _tpart, _cpart"
+    same = " AND ".join(f"l.{k} = r.{k}" for k in keys.split(", "))
+    shared = [f"l.{c}" for c in on]
+    t_columns = shared + [f"l.{c}" for c in targets.columns if c not in on]
+    c_columns = [f"r.{c}" for c in candidates.columns if c not in on]
     width = geo.band_width("_band", "_radius")
-
-    left = (
-        targets.selectExpr(
-            "*",
-            f"{radius} AS _radius",
-            f"{geo.half_chord_limit(radius)} AS _limit",
-            f"{geo.reduced_latitude('target_lat')} AS _beta",
-            f"{geo.lat_band('target_lat', radius)} AS _band",
-        )
-        .selectExpr(
-            "*",
-            *geo.unit_vector("_beta", "target_lon", _T),
-            f"floor(target_lon / {width}) AS _col",
-        )
-        .drop("_beta")
-    )
-    right = (
-        candidates.selectExpr(
-            "*",
-            f"{radius} AS _radius",
-            f"{geo.reduced_latitude('candidate_lat')} AS _beta",
-            f"explode(transform(array(-1, 0, 1), i -> i + "
-            f"{geo.lat_band('candidate_lat', radius)})) AS _band",
-        )
-        .selectExpr(
-            "*",
-            *geo.unit_vector("_beta", "candidate_lon", _C),
-            f"explode(transform(array(-1, 0, 1), i -> i + floor(candidate_lon / {width}))) AS _col",
-        )
-        .drop("_beta", "_radius")
-    )
-
-    cell = [*on, "_band", "_col"]
-    load = (
-        left.selectExpr(*cell, "1 AS _nt", "0 AS _nc")
-        .unionAll(right.selectExpr(*cell, "0 AS _nt", "1 AS _nc"))
-        .groupBy(*cell)
-        .agg(F.expr("double(sum(_nt)) * sum(_nc) AS _work"))
-        .filter(f"_work > {pairs_per_task}")
-        .selectExpr(*cell, f"ceil(sqrt(_work / {pairs_per_task})) AS _parts")
-    )
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    views, unskipped = {"targets": targets, "candidates": candidates}, ""
     if skip is not None:
-        left = left.join(skip, "target_id", "left_anti").select(*left.columns)
-    left = _split_hot(left, load, cell, "_tpart", "_cpart")
-    right = _split_hot(right, load, cell, "_cpart", "_tpart").alias("r")
-    keys = [*cell, "_tpart", "_cpart"]
-    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = left.repartition(tasks, *keys).alias("l")
-    same = " AND ".join(f"l.{k} = r.{k}" for k in keys)
-    close = f"{geo.half_chord_sq(_T, _C)} <= _limit AND {geo.distance_mi(_T, _C)} <= _radius"
-
-    kept = [f"l.{c}" for c in targets.columns] + [
-        f"r.{c}" for c in candidates.columns if c not in on
-    ]
-    pairs = left.join(right, F.expr(f"{same} AND {where} AND {close}")).selectExpr(
-        *kept, *_T, *_C
-    )
-    return geo.with_distance_mi(pairs, _T, _C, [c.split(".")[1] for c in kept])
+        views["skip"] = skip
+        unskipped = "LEFT ANTI JOIN {skip} AS s ON t.target_id = s.target_id"
+    query = f"""
+WITH t AS (
+  SELECT *, {geo.unit_vector('_beta', 'target_lon', _T)}, floor(target_lon / {width}) AS _col
+  FROM (SELECT *, {radius} AS _radius, {geo.half_chord_limit(radius)} AS _limit,
+          {geo.reduced_latitude('target_lat')} AS _beta,
+          {geo.lat_band('target_lat', radius)} AS _band
+        FROM {{targets}})
+), c AS (
+  SELECT *, {geo.unit_vector('_beta', 'candidate_lon', _C)},
+    explode(transform(array(-1, 0, 1), i -> i + floor(candidate_lon / {width}))) AS _col
+  FROM (SELECT *, {radius} AS _radius, {geo.reduced_latitude('candidate_lat')} AS _beta,
+          explode(transform(array(-1, 0, 1),
+            i -> i + {geo.lat_band('candidate_lat', radius)})) AS _band
+        FROM {{candidates}})
+), load AS (
+  SELECT {cell}, ceil(sqrt(_work / {pairs_per_task})) AS _parts
+  FROM (SELECT {cell}, double(sum(_nt)) * sum(_nc) AS _work
+        FROM (SELECT {cell}, 1 AS _nt, 0 AS _nc FROM t
+              UNION ALL SELECT {cell}, 0, 1 FROM c)
+        GROUP BY {cell})
+  WHERE _work > {pairs_per_task}
+), l AS (
+  SELECT /*+ REPARTITION({tasks}, {keys}) */ * FROM (
+    SELECT /*+ BROADCAST(load) */ *, pmod(xxhash64(target_id), coalesce(_parts, 1)) AS _tpart,
+      explode(sequence(0L, coalesce(_parts, 1) - 1)) AS _cpart
+    FROM (SELECT t.* FROM t {unskipped}) LEFT JOIN load USING ({cell}))
+), r AS (
+  SELECT /*+ BROADCAST(load) */ *, pmod(xxhash64(candidate_id), coalesce(_parts, 1)) AS _cpart,
+    explode(sequence(0L, coalesce(_parts, 1) - 1)) AS _tpart
+  FROM c LEFT JOIN load USING ({cell})
+), pairs AS (
+  SELECT {', '.join(t_columns + c_columns)}, {', '.join(_T + _C)},
+    {geo.half_chord_sq(_T, _C)} AS _h
+  FROM l JOIN r ON {same} AND {where}
+    AND {geo.half_chord_sq(_T, _C)} <= _limit AND {geo.distance_mi(_T, _C)} <= l._radius
+)
+SELECT * EXCEPT ({', '.join(_T + _C)}, _h, _sigma, _sine),
+  {geo.miles('_h', '_sigma', '_sine', _T[2], _C[2])} AS distance_mi
+FROM (SELECT *, 2 * asin(sqrt(_h)) AS _sigma, 2 * sqrt(_h * (1 - _h)) AS _sine FROM pairs)
+"""
+    return spark.sql(query, **views)
 
 
 def top_by_distance(pairs: DataFrame, k: int, rank: str = "analog_rank") -> DataFrame:
