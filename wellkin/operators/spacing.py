@@ -5,49 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from wellkin.operators.candidates import SPACING_DEFAULTS
-from wellkin.operators.radius import nearest_within, prefixed, within_radius
+from wellkin.operators.radius import prefixed, top_by_distance, within_radius
 from wellkin.params import BASINS, BasinSet
 
 
+def _two_nearest(pairs: DataFrame, names: tuple[str, str]) -> DataFrame:
+    return (
+        top_by_distance(pairs, 2)
+        .groupBy("target_id")
+        .agg(
+            F.expr(f"min(distance_mi) AS {names[0]}"),
+            F.expr(f"max(IF(analog_rank = 2, distance_mi, NULL)) AS {names[1]}"),
+        )
+    )
+
+
 def at_start(
     early: DataFrame, basins: BasinSet = BASINS, radii: tuple[float, float] = (1.0, 3.0)
 ) -> DataFrame:
     """Per well: earlier-or-equal wells within each radius and the two nearest distances.
 
     The counts need only the outer radius, so they use a grid of that size and collapse in
-    the map-side partial aggregate.  The nearest two search the basin's full distance only
-    for wells with fewer than two neighbours inside the outer radius.
+    the map-side partial aggregate.  A well with two neighbours inside the outer radius has
+    its nearest two there; only the others search the basin's full distance.  They are few:
+    of the wells inside a disc half as wide as the outer radius, in date order, only the
+    first two can lack two earlier neighbours, so their number follows the area covered.
     """
-    columns = ["basin_name", "well_id", "lat", "lon", "first_prod_date"]
-    wells = early.select(*columns)
+    wells = early.select("basin_name", "well_id", "lat", "lon", "first_prod_date")
     subject = prefixed(wells, "target_", ("basin_name",))
     other = prefixed(wells, "candidate_", ("basin_name",))
     existed = "target_id <> candidate_id AND candidate_first_prod_date <= target_first_prod_date"
     inner, outer = radii
-    counts = (
-        within_radius(subject, other, outer, where=existed)
-        .groupBy("target_id")
-        .agg(
-            F.expr(f"count_if(distance_mi <= {inner}) AS wells_within_1mi_at_start"),
-            F.expr("count(*) AS wells_within_3mi_at_start"),
-        )
-    )
-    nearest = (
-        nearest_within(
-            subject, other, basins.sql("max_distance_miles"), 2, where=existed, near=outer
-        )
-        .groupBy("target_id")
-        .agg(
-            F.expr("min(distance_mi) AS distance_to_nearest_at_start"),
-            F.expr(
-                "max(CASE WHEN analog_rank = 2 THEN distance_mi END)"
-                " AS distance_to_second_nearest_at_start"
-            ),
-        )
+    close = within_radius(subject, other, outer, where=existed)
+    counts = close.groupBy("target_id").agg(
+        F.expr(f"count_if(distance_mi <= {inner}) AS wells_within_1mi_at_start"),
+        F.expr("count(*) AS wells_within_3mi_at_start"),
     )
-    per_well = counts.join(nearest, "target_id", "full").withColumnRenamed("target_id", "well_id")
+    settled = counts.filter("wells_within_3mi_at_start >= 2").select("target_id")
+    reach = basins.sql("max_distance_miles")
+    far = within_radius(subject, other, reach, where=existed, skip=settled)
     return (
-        wells.select("basin_name", "well_id")
-        .join(per_well, "well_id", "left")
+        wells.selectExpr("basin_name", "well_id", "well_id AS target_id")
+        .join(counts, "target_id", "left")
+        .join(_two_nearest(close, ("_near1", "_near2")), "target_id", "left")
+        .join(_two_nearest(far, ("_far1", "_far2")), "target_id", "left")
+        .selectExpr(
+            "basin_name",
+            "well_id",
+            "wells_within_1mi_at_start",
+            "wells_within_3mi_at_start",
+            "coalesce(_far1, _near1) AS distance_to_nearest_at_start",
+            "coalesce(_far2, _near2) AS distance_to_second_nearest_at_start",
+        )
         .fillna(SPACING_DEFAULTS)
     )
