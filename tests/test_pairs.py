@@ -260,3 +260,11 @@ def test_training_pairs_limit_keeps_the_first_targets(spark):
     got = candidates.training_pairs(pairs, frame, peaks, (2019, 2022), limit=2)
     assert {r.target_id for r in got.collect()} == {"051", "052"}
     assert got.filter(F.col("target_peak_oil").isNotNull()).count() == 0
+
+
+def test_candidates_of_one_well_come_nearest_first(spark):
+    frame = early(
+        spark, well("05t", first="2020-01-01"), well("05far", lat=40.4), well("05near", lat=40.31)
+    ).withColumns({c: F.lit(1.0) for c in ("avg_oil", "avg_gas", "cum_oil", "cum_gas")})
+    got = candidates.of_well(candidates.build(frame, BASINS), frame, "05t", 5)
+    assert [r.candidate_id for r in got.collect()] == ["05near", "05far"]

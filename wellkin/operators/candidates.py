@@ -119,6 +119,11 @@ def top(pairs: DataFrame, early: DataFrame, n: int = 100) -> DataFrame:
     )
 
 
+def of_well(pairs: DataFrame, early: DataFrame, well_id: str, n: int = 100) -> DataFrame:
+    """J14 for one target; the filter reaches the stored pairs."""
+    return top(pairs.filter(F.col("target_id") == well_id), early, n).orderBy("rank")
+
+
 def _percent(flag: str) -> Column:
     return F.avg(F.when(F.col(flag), 1.0).otherwise(0.0)) * 100
 

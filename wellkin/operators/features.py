@@ -37,6 +37,7 @@ BUCKETS = (
 )
 
 KM_PER_MILE = 1.60934
+DAYS_PER_YEAR = 365.25
 TYPICAL_DECLINE = 0.7
 TYPICAL_PEAK_MONTH = 3
 LOG_FLOOR = 0.1
@@ -163,7 +164,8 @@ def ranking17(
 
     Needs the pair measures, ``target_lateral_length``, ``target_proppant_per_ft`` and
     ``candidate_proppant_per_ft``; with ``with_peaks`` also both sides' ``peak_oil`` and
-    ``oil_decline_rate`` (null where a well has none).  Spacing columns may be absent.
+    ``oil_decline_rate`` (null where a well has none).  Spacing columns may be absent; a
+    missing vintage gap is taken from the two start dates, in years of 365.25 days.
     """
     t, c = (lambda n: F.col(f"target_{n}")), (lambda n: F.col(f"candidate_{n}"))
     has = set(pairs.columns)
@@ -193,6 +195,12 @@ def ranking17(
     else:
         peak, peak_ratio, log_peak, decline = (F.lit(v) for v in (0.0, 1.0, 0.0, 0.0))
 
+    gap = (
+        F.col("vintage_gap_years")
+        if "vintage_gap_years" in has
+        else F.datediff(t("first_prod_date"), c("first_prod_date")) / DAYS_PER_YEAR
+    )
+
     def or_default(name: str, default: float) -> Column:
         return F.coalesce(F.col(name), F.lit(default)) if name in has else F.lit(default)
 
@@ -205,7 +213,7 @@ def ranking17(
         "ppf_ratio": F.when(loaded, stored).otherwise(1.0),
         "log_ppf_ratio": F.when(loaded, floored_log(stored)).otherwise(0.0),
         "same_operator": F.coalesce(F.col("same_operator").cast("int"), F.lit(0)),
-        "vintage_gap_years": F.coalesce("vintage_gap_years", F.lit(0)),
+        "vintage_gap_years": F.coalesce(gap, F.lit(0)),
         "candidate_peak_oil": peak,
         "peak_oil_ratio": peak_ratio,
         "log_peak_oil_ratio": log_peak,

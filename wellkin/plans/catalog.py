@@ -707,6 +707,17 @@ def lambdarank_scores(spark, sf):
     return model.transform(valid).select("target_id", "candidate_id", "label", "score")
 
 
+@query
+def lambdarank_forecast(spark, sf):
+    """Mean of the warped curves of each test well's twenty best analogs by the model."""
+    train, valid = _ranker_frames(spark, sf)
+    model = ranker.fit(train, valid, ranker.RankParams(rounds=3, depth=4, min_leaf=5))
+    score = ranker.scorer(model, with_peaks=False)
+    best = select.best(score(_evaluation_pairs(spark, sf).drop("analog_rank")), 20)
+    curves_ = lookup.with_curves(best, steps.early_rates(spark, sf))
+    return spread(forecast.ranked_mean(forecast.warped(curves_)), "p50_oil")
+
+
 @query
 def feature_importance(spark, sf):
     train, valid = _ranker_frames(spark, sf)
