@@ -63,8 +63,9 @@ def graded(
 ) -> DataFrame:
     """label 3/2/1/0 by where the error falls among the target's pairs.
 
-    The three thresholds are an aggregate per target joined back, not a window, so a target
-    with very many pairs is pre-aggregated in every task.
+    The three thresholds are an aggregate per target joined back, not a window, so no task
+    sorts or buffers the pairs themselves.  The aggregate's state is one number per candidate
+    of the target, that is per well within its radius.
     """
     scored = revenue_error(pairs, kappa_length, kappa_proppant, length_direction)
     cuts = scored.groupBy("target_id").agg(

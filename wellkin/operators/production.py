@@ -40,7 +40,9 @@ def of_wells(production: DataFrame, wells: DataFrame) -> DataFrame:
     """A3: production of known wells only.
 
     A semi join, so repeated ids in the well list do not multiply rows.  The list grows
-    with the data: whether it is broadcast is left to its size at run time.
+    with the data: whether it is broadcast is left to its size at run time, and a well that
+    holds much of an unbroadcast feed is split by the adaptive skew join, which may cut the
+    kept side of a semi join.
     """
     return production.join(wells.select("well_id"), "well_id", "left_semi")
 
