@@ -7,9 +7,19 @@ from pyspark.sql import Column, functions as F
 from wellkin.params import BasinSet
 
 
-def formation_score(formation: Column, target: Column) -> Column:
+def target(name: str) -> Column:
+    """A column of the target's side of a pair."""
+    return F.col(f"target_{name}")
+
+
+def candidate(name: str) -> Column:
+    """A column of the candidate's side of a pair."""
+    return F.col(f"candidate_{name}")
+
+
+def formation_score(formation: Column, wanted: Column) -> Column:
     """1.0 same name, 0.8 contains the target's first word, else 0 (case-blind)."""
-    ours, theirs = F.upper(formation), F.upper(target)
+    ours, theirs = F.upper(formation), F.upper(wanted)
     first_word = F.split(F.trim(theirs), r"\s+")[0]
     return (
         F.when(ours == theirs, 1.0).when(ours.contains(first_word), 0.8).otherwise(0.0)

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wellkin.functions import series
-from wellkin.functions.matching import ratio, same_formation, same_operator, year_gap
+from wellkin.functions.matching import (
+    candidate,
+    ratio,
+    same_formation,
+    same_operator,
+    target,
+    year_gap,
+)
 from wellkin.operators import percentiles
 from wellkin.operators.radius import prefixed, within_radius
 from wellkin.params import BASINS, BasinSet
@@ -60,7 +67,7 @@ def match(
 
 def measure(pairs: DataFrame) -> DataFrame:
     """The measures of a pair, candidate relative to target."""
-    t, c = (lambda n: F.col(f"target_{n}")), (lambda n: F.col(f"candidate_{n}"))
+    t, c = target, candidate
     return pairs.withColumns(
         {
             "length_ratio": ratio(c("lateral_length"), t("lateral_length")),

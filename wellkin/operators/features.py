@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wellkin.functions import series
+from wellkin.functions.matching import candidate, target
 
 # Feature order of the ranking vector.
 RANKING_FEATURES = (
@@ -51,7 +52,7 @@ def floored_log(value: Column) -> Column:
 
 def wide(pairs: DataFrame) -> DataFrame:
     """design, intensity, vintage and season features of a pair."""
-    t, c = (lambda n: F.col(f"target_{n}")), (lambda n: F.col(f"candidate_{n}"))
+    t, c = target, candidate
     month_diff = F.abs(t("vintage_month") - c("vintage_month"))
     return (
         pairs.withColumns(
@@ -134,13 +135,10 @@ WIDE_FEATURES = (
 
 def embedding_features(pairs: DataFrame, size: int = 4) -> DataFrame:
     """F8 on a pair: similarity and per-component difference of the two oil embeddings."""
-    target, candidate = F.col("target_oil_embedding"), F.col("candidate_oil_embedding")
+    ours, theirs = target("oil_embedding"), candidate("oil_embedding")
     return pairs.withColumns(
-        {"embedding_similarity": series.cosine(target, candidate)}
-        | {
-            f"embedding_diff_{i}": series.component_diff(target, candidate, i)
-            for i in range(size)
-        }
+        {"embedding_similarity": series.cosine(ours, theirs)}
+        | {f"embedding_diff_{i}": series.component_diff(ours, theirs, i) for i in range(size)}
     )
 
 
@@ -167,7 +165,7 @@ def ranking17(
     ``oil_decline_rate`` (null where a well has none).  Spacing columns may be absent; a
     missing vintage gap is taken from the two start dates, in years of 365.25 days.
     """
-    t, c = (lambda n: F.col(f"target_{n}")), (lambda n: F.col(f"candidate_{n}"))
+    t, c = target, candidate
     has = set(pairs.columns)
     distance = F.col("distance_mi")
 
@@ -235,9 +233,12 @@ def ranking17(
 
 def inference(found: DataFrame, target_year: int) -> DataFrame:
     """features of a planned well's analogs (output of the new-well lookup)."""
-    t, c = (lambda n: F.col(f"target_{n}")), (lambda n: F.col(f"candidate_{n}"))
+    t, c = target, candidate
     distance, gap = F.col("distance_mi"), F.col("vintage_years")
-    band = lambda low, high: ((distance > low) & (distance <= high)).cast("int")
+
+    def band(low: float, high: float) -> Column:
+        return ((distance > low) & (distance <= high)).cast("int")
+
     ppf, fpf = (F.coalesce(n, F.lit(1.0)) for n in ("ppf_ratio", "fpf_ratio"))
     same = F.coalesce((c("operator_name") == t("operator")).cast("int"), F.lit(0))
     match = F.col("formation_match")
@@ -271,7 +272,7 @@ def inference(found: DataFrame, target_year: int) -> DataFrame:
 
 def legacy20(pairs: DataFrame, components: int = 4) -> DataFrame:
     """F16: the older feature set, with embedding components (0 when missing) and timing."""
-    t, c = (lambda n: F.col(f"target_{n}")), (lambda n: F.col(f"candidate_{n}"))
+    t, c = target, candidate
     distance = F.col("distance_mi")
     log_length = floored_log(F.col("length_ratio"))
     ppf = t("proppant_per_ft") / (c("proppant_per_ft") + 1)

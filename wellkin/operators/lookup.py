@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wellkin.functions.matching import ratio, same_operator, year_gap
+from wellkin.functions.matching import candidate, ratio, same_operator, target, year_gap
 from wellkin.operators.radius import nearest_within, prefixed
 from wellkin.params import BASINS, BasinSet
 
@@ -90,7 +90,7 @@ def new_well(
     ``as_of_year`` (default: the current year) dates the vintage.
     """
     year = F.year(F.current_date()) if as_of_year is None else F.lit(as_of_year)
-    t, c = (lambda n: F.col(f"target_{n}")), (lambda n: F.col(f"candidate_{n}"))
+    t, c = target, candidate
     wanted = prefixed(
         requests.select(
             "well_id", "lat", "lon", "formation", "lateral_length", "proppant_per_ft",
@@ -126,7 +126,7 @@ def evaluation(
 ) -> DataFrame:
     """Nearest earlier wells of exactly the target's formation, any lateral."""
     on = ("basin_name", "formation")
-    t, c = (lambda n: F.col(f"target_{n}")), (lambda n: F.col(f"candidate_{n}"))
+    t, c = target, candidate
     found = nearest_within(
         prefixed(targets.select(*_COLUMNS), "target_", on),
         _candidates(early, on),
