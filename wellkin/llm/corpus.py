@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +40,13 @@ def blocked(docs: DataFrame, n_blocks: int) -> DataFrame:
     return docs.select("doc_id", "text", key.alias("row_key")).withColumn(
         "block", F.pmod("row_key", F.lit(n_blocks)).cast("int")
     )
+
+
+def fit_in_task(sample: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
+    """What `fit` makes of a sample whose size the caller has bounded, fitted in one task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"model": [pickle.dumps(fit(rows))]})
+
+    made = sample.groupBy(F.lit(0).alias("all")).applyInPandas(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit(pd.DataFrame(columns=sample.columns))

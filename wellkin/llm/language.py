@@ -28,6 +28,8 @@ FOLD = 4
 DIMS, ORDERS, LANDMARKS, RIDGE, SAMPLE = 1 << 13, (1, 2, 3), 256, 1e-2, 4_000
 #: Rows and bytes of one presence matrix.
 ROWS, BYTES = 64, 1 << 20
+#: Texts to learn from are no longer than this, which bounds the sample.
+LEARN_BYTES = 1 << 14
 
 NONE = "und"
 
@@ -86,17 +88,18 @@ def fit(texts: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]:
     return names, np.vstack([folded, beta[-1:]]).astype(np.float32)
 
 
-def _sample(docs: DataFrame, size: int) -> tuple[list[bytes], list[str]]:
-    """At most `size` labelled training rows, those whose ids hash lowest, cut to BYTES each."""
-    known = docs.filter("text is not null and lang is not null").filter(~corpus.fold(FOLD))
+def learn(docs: DataFrame, size: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """Fit on at most `size` labelled training rows of moderate length, lowest id hashes first."""
+    known = docs.filter("lang is not null").filter(~corpus.fold(FOLD))
+    known = known.filter(F.octet_length("text") <= LEARN_BYTES)
     digest = F.xxhash64(F.col("doc_id"), F.lit("lang"))
-    rows = (
-        known.select("lang", F.substring("text", 1, BYTES // 64).alias("text"), digest.alias("k"))
-        .orderBy("k", "lang", "text")
-        .limit(size)
-        .collect()
-    )
-    return [_raw(r["text"]) for r in rows], [r["lang"] for r in rows]
+    sample = known.select("lang", "text", digest.alias("k")).orderBy("k", "lang", "text").limit(size)
+
+    def fitted(rows: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+        rows = rows.sort_values(["k", "lang", "text"])
+        return fit([_raw(t) for t in rows["text"]], list(rows["lang"]))
+
+    return corpus.fit_in_task(sample, fitted)
 
 
 def _has_letter(text: str | None) -> bool:
@@ -105,7 +108,7 @@ def _has_letter(text: str | None) -> bool:
 
 def identify(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
     """All columns of `docs` and lang_pred, lang_score."""
-    names, matrix = fit(*_sample(docs, size))
+    names, matrix = learn(docs, size)
     shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
 
     @F.pandas_udf("lang_pred string, lang_score double")

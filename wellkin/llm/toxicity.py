@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its words, hashed.  The machine adds a weight per term and, for every pair
+A text is the set of its words and of their first letters, hashed.  The machine adds a weight per term and, for every pair
 of terms, the dot product of their factors, so a pair such as an insult and a group's name can
 weigh more than its words do.  Terms enter the machine if their association with the label
 passes a chi-square test on the sample; the others have weight zero.
@@ -29,6 +29,8 @@ FOLD, THRESHOLD = 4, 0.3
 SAMPLE, DIMS, FACTORS, STEPS, RATE, PENALTY = 20_000, 1 << 20, 8, 250, 0.05, 1e-4
 #: Chi-square value a term must pass, and the most terms kept.
 CHI_SQUARE, TERMS = 15.0, 8_192
+#: Bytes of a word's start that are terms of their own.
+PREFIXES = (4, 5, 6)
 #: Distinct terms of one sampled text that are learned from, lowest hashes first.
 TEXT_TERMS = 20_000
 
@@ -37,8 +39,12 @@ Machine = tuple[float, dict[int, int], np.ndarray, np.ndarray]
 
 
 def terms(text: str | None) -> set[int]:
-    crc, mask = zlib.crc32, DIMS - 1
-    return {crc(w) & mask for w in set(words(text))}
+    """Hashes of the distinct words and of their first letters, which compounds share."""
+    crc, mask, found = zlib.crc32, DIMS - 1, set(words(text))
+    out = {crc(w) & mask for w in found}
+    for n in PREFIXES:
+        out.update([crc(w, n) & mask for w in {w[:n] for w in found if len(w) > n}])
+    return out
 
 
 def _pair_sum(rows: np.ndarray, index: np.ndarray, n: int, v: np.ndarray):
@@ -118,15 +124,20 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Machine:
     def hashed(text: pd.Series) -> pd.Series:
         return text.map(lambda t: sorted(terms(t))[:TEXT_TERMS])
 
-    rows = (
+    sample = (
         docs.select("doc_id", "text")
         .join(F.broadcast(known), "doc_id")
         .select("k", "toxic", hashed("text").alias("terms"))
         .orderBy("k", "toxic", "terms")
         .limit(size)
-        .toPandas()
     )
-    return fit([np.asarray(t, np.int64) for t in rows["terms"]], rows["toxic"].to_numpy(float))
+
+    def fitted(rows: pd.DataFrame) -> Machine:
+        order = np.lexsort((rows["toxic"], rows["k"]))
+        sets = [np.asarray(rows["terms"].iloc[i], np.int64) for i in order]
+        return fit(sets, rows["toxic"].to_numpy(float)[order])
+
+    return corpus.fit_in_task(sample, fitted)
 
 
 def score(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
