@@ -212,3 +212,34 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     return report(corpus.table(spark, sf_dir, "documents"), corpus.table(spark, sf_dir, "benchmark"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _oracle(window: int = WINDOW) -> str:
+    split = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}')"
+    return f"""
+WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {split} AS w FROM benchmark),
+test AS (SELECT DISTINCT item, least(len(w), {window}) AS size,
+    unnest([array_to_string(w[i : i + least(len(w), {window}) - 1], ' ')
+      FOR i IN range(1, len(w) - least(len(w), {window}) + 2)]) AS words
+  FROM item WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM test),
+doc AS (SELECT row_number() OVER () AS r, doc_id, {split} AS w FROM documents),
+place AS (SELECT r, size, unnest(range(1, len(w) - size + 2)) AS i, w FROM doc, sizes
+  WHERE len(w) >= size),
+occurrence AS (SELECT r, place.size, i, item
+  FROM place JOIN test ON place.size = test.size
+    AND array_to_string(w[i : i + place.size - 1], ' ') = test.words),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM
+  (SELECT r, unnest(range(i, i + size)) AS p FROM occurrence) GROUP BY r),
+items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT r, item FROM occurrence) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""
+
+
+ORACLE = {"op10_decontaminate": _oracle()}
