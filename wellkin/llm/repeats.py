@@ -286,7 +286,7 @@ def smallest_of_windows(
         if not len(own):
             continue
         kind, side, doc = of[own], left_class[own], ids[own]
-        by = np.lexsort((side, kind))
+        by = np.argsort(kind * (n + 1) + side, kind="stable")
         kind, side, doc = kind[by], side[by], doc[by]
         first = np.ones(len(by), bool)
         first[1:] = kind[1:] != kind[:-1]
@@ -310,23 +310,36 @@ def _settle(rows: pd.DataFrame) -> pd.DataFrame:
     asked = rows[~passed]
     if len(asked):
         before, counts = asked["before"].to_numpy(np.int64), asked["n"].to_numpy(np.int64)
-        ids = asked["id"].to_numpy(np.int64)
+        ids, block_of = asked["id"].to_numpy(np.int64), asked["block"].to_numpy(np.int64)
         least = smallest_of_windows([bytes(c) for c in asked["context"]], before, counts, ids)
-        cut = least < ids[:, None]
-        for i in np.flatnonzero(cut.any(axis=1)):
-            owners = np.frombuffer(asked["owners"].iloc[i], np.int64).reshape(-1, 2)
-            # Window j starts before[i] - j bytes into the context.
-            offsets = before[i] - np.flatnonzero(cut[i])[::-1]
-            breaks = np.flatnonzero(np.diff(offsets) > 1) + 1
-            for part in np.split(offsets, breaks):
-                found = np.stack(
-                    [owners[:, 0], owners[:, 1] + part[0], owners[:, 1] + part[-1] + WINDOW], axis=1
-                )
-                spans.setdefault(int(asked["block"].iloc[i]), []).append(found)
+        context, start, end = _stretches(least < ids[:, None], before)
+        owners = np.frombuffer(b"".join(asked["owners"]), np.int64).reshape(-1, 2)
+        per = np.fromiter(map(len, asked["owners"]), np.int64, len(asked)) // 16
+        first = np.cumsum(per) - per
+        n = per[context]
+        at = np.arange(n.sum()) + np.repeat(first[context] - (np.cumsum(n) - n), n)
+        row, place = owners[at].T
+        found = np.stack([row, place + np.repeat(start, n), place + np.repeat(end, n)], axis=1)
+        by = np.repeat(block_of[context], n)
+        order = np.argsort(by, kind="stable")
+        names, edges = np.unique(by[order], return_index=True)
+        for block, part in zip(names.tolist(), np.split(found[order], edges[1:]), strict=True):
+            spans.setdefault(block, []).append(part)
     out = [(b, np.concatenate(parts).tobytes()) for b, parts in spans.items()]
     return pd.DataFrame(out, columns=["block", "spans"])
 
 
+def _stretches(cut: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, first and last byte (from its start) of every run of cut windows.
+
+    Window j starts before - j bytes into the context.
+    """
+    edge = np.zeros((len(cut), 1), bool)
+    low = np.nonzero(cut & ~np.hstack([edge, cut[:, :-1]]))
+    high = np.nonzero(cut & ~np.hstack([cut[:, 1:], edge]))
+    return low[0], before[low[0]] - high[1], before[low[0]] - low[1] + WINDOW
+
+
 def _cut(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     """Pass 3: united spans and what they leave of every row of a block."""
     parts = [np.frombuffer(s, np.int64).reshape(-1, 3) for s in found["spans"]]
