@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from wellkin.llm import corpus
 
 #: Bytes of a repeated string, and of an anchor's string (at least 16, at most 24).
-WINDOW, KEY = 50, 20
+WINDOW, KEY = 50, 16
 #: Text of a block, anchors of a bucket, bytes handled at once, documents of a hot anchor.
 BLOCK_BYTES, BUCKET_BYTES, PART_BYTES, HOT = 4_000_000, 16_000_000, 1 << 22, 4_096
 NO_ID = (1 << 63) - 1
@@ -104,6 +104,11 @@ def _parts(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, pd.Data
             first, size = i + 1, 0
 
 
+def _row_ranks(rows: pd.DataFrame) -> np.ndarray:
+    """Rank of each row of a block by its key, the same in whatever order the rows come."""
+    return np.unique(rows["row_key"].to_numpy(np.int64), return_inverse=True)[1].astype(np.int32)
+
+
 def _anchors(rows: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
     """Pass 1: (bucket, hashes) of a block; a count of 2 stands for more documents than one."""
     hashes, ids = [], []
@@ -171,6 +176,7 @@ def _contexts(rows: pd.DataFrame, answered: pd.DataFrame, n_buckets: int) -> Ite
     wanted, hot = np.concatenate(wanted), np.concatenate(hot)
     order = np.argsort(wanted)
     wanted, hot = wanted[order], hot[order]
+    rows = rows.assign(rank=_row_ranks(rows))
     best: dict[tuple[bytes, int], list] = {}
     settled: list[tuple[int, int, int]] = []
     for raw, ends, part in _parts(rows):
@@ -184,7 +190,7 @@ def _contexts(rows: pd.DataFrame, answered: pd.DataFrame, n_buckets: int) -> Ite
         whole = raw.tobytes()
         text = np.searchsorted(ends, runs["anchor"].to_numpy(), "right")
         starts = np.concatenate([[0], ends[:-1]])[text]
-        ids, row_keys = part["id"].to_numpy(np.int64)[text], part["row_key"].to_numpy(np.int64)[text]
+        ids, row_keys = part["id"].to_numpy(np.int64)[text], part["rank"].to_numpy(np.int32)[text]
         for s, n, a, first, doc, row, is_hot in zip(
             runs["start"].tolist(), runs["n"].tolist(), runs["anchor"].tolist(), starts.tolist(),
             ids.tolist(), row_keys.tolist(), hot[place].tolist(), strict=True,
@@ -206,10 +212,10 @@ def _contexts(rows: pd.DataFrame, answered: pd.DataFrame, n_buckets: int) -> Ite
     for (context, before), (doc, count, is_hot, owners) in best.items():
         owner = context if is_hot else context[before : before + KEY]
         bucket = int.from_bytes(hashlib.blake2b(owner, digest_size=6).digest(), "little") % n_buckets
-        waiting = np.array(owners, np.int64).tobytes()
+        waiting = np.array(owners, np.int32).tobytes()
         out.append((bucket, context, before, count, doc, waiting, block, None))
     if settled:
-        done = np.array(settled, np.int64).tobytes()
+        done = np.array(settled, np.int32).tobytes()
         out.append((block % n_buckets, None, None, None, None, None, block, done))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in _SENT.split(", ")])
 
@@ -306,15 +312,15 @@ def _settle(rows: pd.DataFrame) -> pd.DataFrame:
     spans: dict[int, list[np.ndarray]] = {}
     passed = rows["spans"].notna()
     for block, done in zip(rows["block"][passed], rows["spans"][passed], strict=True):
-        spans.setdefault(block, []).append(np.frombuffer(done, np.int64).reshape(-1, 3))
+        spans.setdefault(block, []).append(np.frombuffer(done, np.int32).reshape(-1, 3))
     asked = rows[~passed]
     if len(asked):
         before, counts = asked["before"].to_numpy(np.int64), asked["n"].to_numpy(np.int64)
         ids, block_of = asked["id"].to_numpy(np.int64), asked["block"].to_numpy(np.int64)
         least = smallest_of_windows([bytes(c) for c in asked["context"]], before, counts, ids)
         context, start, end = _stretches(least < ids[:, None], before)
-        owners = np.frombuffer(b"".join(asked["owners"]), np.int64).reshape(-1, 2)
-        per = np.fromiter(map(len, asked["owners"]), np.int64, len(asked)) // 16
+        owners = np.frombuffer(b"".join(asked["owners"]), np.int32).reshape(-1, 2)
+        per = np.fromiter(map(len, asked["owners"]), np.int64, len(asked)) // 8
         first = np.cumsum(per) - per
         n = per[context]
         at = np.arange(n.sum()) + np.repeat(first[context] - (np.cumsum(n) - n), n)
@@ -325,7 +331,7 @@ def _settle(rows: pd.DataFrame) -> pd.DataFrame:
         names, edges = np.unique(by[order], return_index=True)
         for block, part in zip(names.tolist(), np.split(found[order], edges[1:]), strict=True):
             spans.setdefault(block, []).append(part)
-    out = [(b, np.concatenate(parts).tobytes()) for b, parts in spans.items()]
+    out = [(b, np.concatenate(parts).astype(np.int32).tobytes()) for b, parts in spans.items()]
     return pd.DataFrame(out, columns=["block", "spans"])
 
 
@@ -342,11 +348,11 @@ def _stretches(cut: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _cut(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     """Pass 3: united spans and what they leave of every row of a block."""
-    parts = [np.frombuffer(s, np.int64).reshape(-1, 3) for s in found["spans"]]
-    spans = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
+    parts = [np.frombuffer(s, np.int32).reshape(-1, 3) for s in found["spans"]]
+    spans = np.concatenate(parts) if parts else np.zeros((0, 3), np.int32)
     spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
     out = []
-    for row, text in zip(rows["row_key"], rows["text"], strict=True):
+    for row, text in zip(_row_ranks(rows), rows["text"], strict=True):
         a, b = np.searchsorted(spans[:, 0], row, "left"), np.searchsorted(spans[:, 0], row, "right")
         raw, united = (text or "").encode(), []
         for start, end in spans[a:b, 1:].tolist():
