@@ -128,7 +128,7 @@ def _anchors(rows: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
     order = np.argsort(bucket, kind="stable")
     kinds, counts, bucket = kinds[order].astype(np.uint32), counts[order], bucket[order]
     names, starts = np.unique(bucket, return_index=True)
-    stops = np.append(starts[1:], len(bucket))
+    stops = np.append(starts, len(bucket))[1:]
     return pd.DataFrame(
         {
             "block": np.full(len(names), rows["block"].iloc[0]),
@@ -329,7 +329,8 @@ def _settle(rows: pd.DataFrame) -> pd.DataFrame:
         by = np.repeat(block_of[context], n)
         order = np.argsort(by, kind="stable")
         names, edges = np.unique(by[order], return_index=True)
-        for block, part in zip(names.tolist(), np.split(found[order], edges[1:]), strict=True):
+        for block, a, b in zip(names.tolist(), edges, np.append(edges, len(by))[1:], strict=True):
+            part = found[order[a:b]]
             spans.setdefault(block, []).append(part)
     out = [(b, np.concatenate(parts).astype(np.int32).tobytes()) for b, parts in spans.items()]
     return pd.DataFrame(out, columns=["block", "spans"])
