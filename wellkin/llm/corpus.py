@@ -50,3 +50,15 @@ def fit_in_task(sample: DataFrame, fit: Callable[[pd.DataFrame], object]) -> obj
 
     made = sample.groupBy(F.lit(0).alias("all")).applyInPandas(run, "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else fit(pd.DataFrame(columns=sample.columns))
+
+
+def low_hashes(rows: DataFrame, key: Column, size: int) -> DataFrame:
+    """`rows` with `k`, cut to the lowest values of the hash `key`: about twice `size` rows.
+
+    Taking the `size` lowest of these in one task then reads a bounded number of rows, however
+    many partitions there are.  The cut depends on the number of rows alone.
+    """
+    total = max(1, rows.count())
+    share = min(1.0, 2 * size / total)
+    keyed = rows.withColumn("k", key)
+    return keyed if share >= 1 else keyed.filter(F.col("k") < F.lit(int(-(2**63) + share * 2**64)))

@@ -278,8 +278,8 @@ def main_text(page: str | None, costs: Costs) -> str:
 def learn(pages: DataFrame, size: int = SAMPLE) -> np.ndarray:
     """Fit on at most `size` pages of moderate length, lowest hashes first."""
     sample = (
-        pages.filter(F.octet_length("html") <= SAMPLE_BYTES)
-        .select("html", F.xxhash64("html").alias("k"))
+        corpus.low_hashes(pages.select("html"), F.xxhash64("html"), size)
+        .filter(F.octet_length("html") <= SAMPLE_BYTES)
         .orderBy("k", "html")
         .limit(size)
     )

@@ -91,9 +91,10 @@ def fit(texts: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]:
 def learn(docs: DataFrame, size: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Fit on at most `size` labelled training rows of moderate length, lowest id hashes first."""
     known = docs.filter("lang is not null").filter(~corpus.fold(FOLD))
-    known = known.filter(F.octet_length("text") <= LEARN_BYTES)
     digest = F.xxhash64(F.col("doc_id"), F.lit("lang"))
-    sample = known.select("lang", "text", digest.alias("k")).orderBy("k", "lang", "text").limit(size)
+    known = corpus.low_hashes(known.select("doc_id", "lang", "text"), digest, size)
+    known = known.filter(F.octet_length("text") <= LEARN_BYTES)
+    sample = known.select("lang", "text", "k").orderBy("k", "lang", "text").limit(size)
 
     def fitted(rows: pd.DataFrame) -> tuple[list[str], np.ndarray]:
         rows = rows.sort_values(["k", "lang", "text"])

@@ -36,7 +36,7 @@ LENGTH, END, GRID = 2_048, 1, 4
 #: Stop when the bound shows this relative gap, or after so many columns.
 GAP, COLUMNS = 1e-3, 600
 #: Pieces ranked together.
-RANK_ROWS = 50_000
+RANK_ROWS = 10_000
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
 

@@ -211,9 +211,10 @@ def content_share(text: str | None, field: Field, known: dict[int, tuple[float,
 def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Field:
     """Fit on at most `size` labelled documents of few lines, lowest id hashes first."""
     digest = F.xxhash64(F.col("doc_id"), F.lit("quality"))
+    labelled = labels.filter("quality is not null and doc_id is not null")
     known = (
-        labels.filter("quality is not null and doc_id is not null")
-        .select("doc_id", F.col("quality").cast("int").alias("quality"), digest.alias("k"))
+        corpus.low_hashes(labelled.select("doc_id", "quality"), digest, size)
+        .select("doc_id", F.col("quality").cast("int").alias("quality"), "k")
         .orderBy("k", "quality")
         .limit(size)
     )

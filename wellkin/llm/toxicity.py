@@ -112,10 +112,11 @@ def score_texts(texts: pd.Series, machine: Machine) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Machine:
     """Fit on at most `size` labelled rows outside the held-out fold, lowest id hashes first."""
     digest = F.xxhash64(F.col("doc_id"), F.lit("toxic"))
+    labelled = labels.filter("toxic is not null and doc_id is not null")
+    labelled = labelled.filter(~corpus.fold(FOLD)).select("doc_id", "toxic")
     known = (
-        labels.filter("toxic is not null and doc_id is not null")
-        .filter(~corpus.fold(FOLD))
-        .select("doc_id", F.col("toxic").cast("int").alias("toxic"), digest.alias("k"))
+        corpus.low_hashes(labelled, digest, size)
+        .select("doc_id", F.col("toxic").cast("int").alias("toxic"), "k")
         .orderBy("k", "toxic")
         .limit(size)
     )
