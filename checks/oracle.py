@@ -503,7 +503,7 @@ UNION ALL SELECT 'First Prod Date Accuracy', CASE WHEN n = 0 THEN 'PASS' ELSE 'F
 FROM (SELECT count(*) AS n FROM {wells} w JOIN (SELECT well_id, min(prod_date) AS f FROM {prod} GROUP BY 1) p USING (well_id) WHERE w.first_prod_date <> p.f)
 UNION ALL SELECT 'Peak Month Alignment', 'Peak months 0-6: ' || n || ' wells', 0
 FROM (SELECT count(*) AS n FROM (SELECT well_id FROM {prod} GROUP BY 1 HAVING min(prod_month) BETWEEN 0 AND 6))
-UNION ALL SELECT 'Denver Basin Geographic Bounds', CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL - ' || n || ' Denver Basin wells outside bounds' END, n
+UNION ALL SELECT 'DJ Basin Geographic Bounds', CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL - ' || n || ' DJ wells outside bounds' END, n
 FROM (SELECT count(*) AS n FROM {wells} WHERE basin = 'dj' AND (state <> 'CO' OR lat NOT BETWEEN 39.51 AND 42.19 OR lon NOT BETWEEN -105.13 AND -101.99))
 UNION ALL SELECT 'Bakken Geographic Bounds', CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL - ' || n || ' Bakken wells outside bounds' END, n
 FROM (SELECT count(*) AS n FROM {wells} WHERE basin = 'bakken' AND (state NOT IN ('ND', 'MT') OR lat NOT BETWEEN 46.66 AND 48.99 OR lon NOT BETWEEN -105.26 AND -102.0))

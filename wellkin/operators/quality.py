@@ -14,6 +14,11 @@ from wellkin.operators.production import MIN_MONTHS, PEAK_WINDOW, first_dates
 from wellkin.params import BASINS, BasinSet
 
 
+# What the bounds checks call a basin and its wells; check names and result
+# texts below are fixed values too.
+_BOUNDS_NAMES = {"dj_basin": ("DJ Basin", "DJ"), "bakken": ("Bakken", "Bakken")}
+
+
 def _verdict(test: str, bad: Column, failure: Column) -> list[Column]:
     return [
         F.lit(test).alias("test_name"),
@@ -88,9 +93,12 @@ def geographic_bounds(wells: DataFrame, basins: BasinSet = BASINS) -> DataFrame:
     rows = [
         counts.select(
             *_verdict(
-                f"{b.title} Geographic Bounds",
+                f"{_BOUNDS_NAMES.get(b.name, (b.title, b.title))[0]} Geographic Bounds",
                 F.col(b.name),
-                _fail(F.col(b.name), f"{b.title} wells outside bounds"),
+                _fail(
+                    F.col(b.name),
+                    f"{_BOUNDS_NAMES.get(b.name, (b.title, b.title))[1]} wells outside bounds",
+                ),
             )
         )
         for b in basins
@@ -239,7 +247,7 @@ def zero_month_impact(curves: DataFrame, max_zero: int = 2) -> DataFrame:
 def without_production(wells: DataFrame, production: DataFrame) -> DataFrame:
     """Wells with no production rows, by basin."""
     return (
-        wells.join(production.select("well_id"), "well_id", "left_anti")
+        wells.join(production.select("well_id").distinct(), "well_id", "left_anti")
         .groupBy("basin", "basin_name")
         .agg(F.count("*").alias("wells_without_production"))
     )
