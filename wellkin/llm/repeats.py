@@ -157,11 +157,14 @@ def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "bucket", "keys", "hot"])
 
 
-#: What blocks send in pass 2: contexts with their anchor's place in them, the number of windows,
-#: the smallest document, and the owners that wait for an answer; or spans that are settled.
+#: What a block sends to a bucket in pass 2, as packed arrays: contexts end to end, and for each
+#: its size, its anchor's place, its windows, its smallest document and its number of owners; the
+#: owners (row, place) that wait for an answer; and spans that are settled already.
 _SENT = (
-    "bucket long, context binary, before int, n int, id long, owners binary, block int, spans binary"
+    "bucket long, block int, context binary, size binary, before binary, n binary, id binary,"
+    " per binary, owners binary, spans binary"
 )
+_SENT_NAMES = [c.split()[0] for c in _SENT.split(",")]
 
 
 def _contexts(rows: pd.DataFrame, answered: pd.DataFrame, n_buckets: int) -> Iterator[pd.DataFrame]:
@@ -208,16 +211,24 @@ def _contexts(rows: pd.DataFrame, answered: pd.DataFrame, n_buckets: int) -> Ite
                     held[3].append((row, at - first))
                 else:
                     settled.append((row, at - first, at - first + count + WINDOW - 1))
-    block, out = int(rows["block"].iloc[0]), []
+    block = int(rows["block"].iloc[0])
+    dealt: dict[int, list[tuple]] = {}
     for (context, before), (doc, count, is_hot, owners) in best.items():
         owner = context if is_hot else context[before : before + KEY]
         bucket = int.from_bytes(hashlib.blake2b(owner, digest_size=6).digest(), "little") % n_buckets
-        waiting = np.array(owners, np.int32).tobytes()
-        out.append((bucket, context, before, count, doc, waiting, block, None))
+        dealt.setdefault(bucket, []).append((context, before, count, doc, owners))
+    out = []
+    for bucket, sent in dealt.items():
+        texts, before, counts, ids, owners = zip(*sent, strict=True)
+        small = [np.array(x, np.uint16).tobytes() for x in (list(map(len, texts)), before, counts)]
+        per = np.fromiter(map(len, owners), np.int32, len(owners)).tobytes()
+        waiting = np.array([o for own in owners for o in own], np.int32).tobytes()
+        packed = (b"".join(texts), *small, np.array(ids, np.int64).tobytes(), per, waiting)
+        out.append((bucket, block, *packed, None))
     if settled:
         done = np.array(settled, np.int32).tobytes()
-        out.append((block % n_buckets, None, None, None, None, None, block, done))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in _SENT.split(", ")])
+        out.append((block % n_buckets, block, *[None] * 7, done))
+    yield pd.DataFrame(out, columns=_SENT_NAMES)
 
 
 def intervals(common: np.ndarray, size: int) -> list[tuple[int, int, int, int]]:
@@ -315,12 +326,19 @@ def _settle(rows: pd.DataFrame) -> pd.DataFrame:
         spans.setdefault(block, []).append(np.frombuffer(done, np.int32).reshape(-1, 3))
     asked = rows[~passed]
     if len(asked):
-        before, counts = asked["before"].to_numpy(np.int64), asked["n"].to_numpy(np.int64)
-        ids, block_of = asked["id"].to_numpy(np.int64), asked["block"].to_numpy(np.int64)
-        least = smallest_of_windows([bytes(c) for c in asked["context"]], before, counts, ids)
+
+        def flat(name: str, kind: type) -> np.ndarray:
+            return np.frombuffer(b"".join(asked[name]), kind).astype(np.int64)
+
+        size, before, counts = (flat(name, np.uint16) for name in ("size", "before", "n"))
+        ids, per = flat("id", np.int64), flat("per", np.int32)
+        held = np.fromiter(map(len, asked["per"]), np.int64, len(asked)) // 4
+        block_of = np.repeat(asked["block"].to_numpy(np.int64), held)
+        whole, ends = b"".join(asked["context"]), np.cumsum(size).tolist()
+        contexts = [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        least = smallest_of_windows(contexts, before, counts, ids)
         context, start, end = _stretches(least < ids[:, None], before)
         owners = np.frombuffer(b"".join(asked["owners"]), np.int32).reshape(-1, 2)
-        per = np.fromiter(map(len, asked["owners"]), np.int64, len(asked)) // 8
         first = np.cumsum(per) - per
         n = per[context]
         at = np.arange(n.sum()) + np.repeat(first[context] - (np.cumsum(n) - n), n)
@@ -388,7 +406,7 @@ def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
     def contexts(r: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame(columns=[c.split()[0] for c in _SENT.split(", ")])
+        none = pd.DataFrame(columns=_SENT_NAMES)
         return next(_contexts(r, a, n_buckets), none) if len(r) else none
 
     asked = (
