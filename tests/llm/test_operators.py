@@ -102,6 +102,11 @@ def test_intervals_of_a_suffix_array():
 def test_cut_documents_keep_columns_and_rows(clashing):
     cut = repeats.cut_repeats(clashing)
     assert cut.columns == clashing.columns and cut.count() == clashing.count()
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    got = [(r["doc_id"] if r["doc_id"] is not None else NONE, digest(r["text"])) for r in cut.collect()]
+    assert Counter(got) == Counter((r[0], r[-1]) for r in cut_by_force([r[:2] for r in rows()]))
+    others = [c for c in cut.columns if c not in ("text", "n_chars")]
+    assert cut.select(others).exceptAll(clashing.select(others)).count() == 0
 
 
 def test_licenses_and_null_texts(spark):

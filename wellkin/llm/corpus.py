@@ -30,14 +30,14 @@ def blocks_for(n_bytes: int, block_bytes: int, least: int = 256) -> int:
     return max(least, -(-n_bytes // block_bytes))
 
 
-def blocked(docs: DataFrame, n_blocks: int) -> DataFrame:
-    """doc_id, text, row_key and block: a block is a bounded, repeatable share of the rows.
+def blocked(docs: DataFrame, n_blocks: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, row_key, `extra` columns and block: a block is a bounded, repeatable share of the rows.
 
     The key hashes id and text, so rows with one id and different texts stay apart and a row
     gets the same key whenever it is read again.
     """
     key = F.xxhash64("doc_id", "text")
-    return docs.select("doc_id", "text", key.alias("row_key")).withColumn(
+    return docs.select("doc_id", "text", key.alias("row_key"), *extra).withColumn(
         "block", F.pmod("row_key", F.lit(n_blocks)).cast("int")
     )
 

@@ -30,8 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wellkin.llm import corpus
 
@@ -391,12 +393,15 @@ def _cut(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     return made
 
 
-def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocked rows, and (block, spans) of their repeated windows."""
+def _spans(docs: DataFrame, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Blocked rows, and (block, spans) of their repeated windows.
+
+    `extra` columns ride with the rows, which are dealt to their blocks once for all passes.
+    """
     n_bytes = corpus.text_bytes(docs)
     n_buckets = corpus.blocks_for(n_bytes, BUCKET_BYTES)
-    rows = corpus.blocked(docs, corpus.blocks_for(n_bytes, BLOCK_BYTES)).select(
-        "block", "row_key", "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text"
+    rows = corpus.blocked(docs, corpus.blocks_for(n_bytes, BLOCK_BYTES), extra).select(
+        "block", "row_key", "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", *extra
     )
     sent = rows.groupBy("block").applyInPandas(
         lambda r: _anchors(r, n_buckets), "block int, bucket long, keys binary, docs binary"
@@ -415,34 +420,46 @@ def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, asked.groupBy("bucket").applyInPandas(_settle, "block int, spans binary")
 
 
-_KEPT = "doc_id long, row_key long, n_bytes long, spans array<array<long>>, kept binary"
-
-
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, n_bytes, spans (byte ranges removed), kept (bytes left) of every row."""
-    rows, spans = _spans(docs)
-    return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(_cut, _KEPT)
-
-
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with the repeats cut out of text, and n_chars brought up to date if there is one.
 
-    A character that a cut divides goes with it.  Every row stays, even if nothing is left.
+    A character that a cut divides goes with it.  Every row stays, even if nothing is left.  The
+    other columns travel with the text under names of their own, so none can clash, and leave
+    the last pass as the Arrow columns they came in.
     """
+    names = docs.columns
+    places = [f"_column{i}" for i in range(len(names))]
+    at = dict(zip(names, places, strict=True))
+    extra = tuple(at[n] for n in names if n not in ("doc_id", "text"))
+    back = {at["doc_id"]: "doc_id", at["text"]: "text"}
+    rows, spans = _spans(docs.toDF(*places).withColumnsRenamed(back), extra)
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        needed = left.select(["doc_id", "row_key", "text"]).to_pandas(types_mapper=_nullable)
+        made = _cut(needed, right.to_pandas())
+        texts = [
+            whole if not gone else kept.decode("utf-8", "ignore")
+            for whole, gone, kept in zip(needed["text"], made["spans"], made["kept"], strict=True)
+        ]
+        texts = [t if isinstance(t, str) else None for t in texts]
+        field = left.schema.field("text")
+        out = left.set_column(left.schema.names.index("text"), field, pa.array(texts, field.type))
+        return out.select(["doc_id", "text", *extra])
+
+    order = ["doc_id", "text", *extra]
+    schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in order])
+    changed = rows.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(cut, schema)
+    texts = changed.select(*[F.col(back.get(c, c)).alias(c) for c in places]).toDF(*names)
+    if "n_chars" in names:
+        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        same = F.col("text").isNull()
+        texts = texts.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(length))
+    return texts
 
-    @F.pandas_udf("string")
-    def decoded(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    key, names = F.xxhash64("doc_id", "text"), docs.columns
-    cut = without_repeats(docs).filter(F.size("spans") > 0).dropDuplicates(["row_key"])
-    cut = cut.select(F.col("row_key").alias("_row"), decoded("kept").alias("_kept"))
-    joined = docs.withColumn("_row", key).join(cut, "_row", "left")
-    text = F.coalesce("_kept", "text")
-    changed = joined.withColumn("text", text)
-    if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*names)
+def _nullable(kind: pa.DataType):
+    """Whole numbers with nulls stay whole numbers."""
+    return pd.Int64Dtype() if pa.types.is_integer(kind) else None
 
 
 def op1_repeats(spark, sf_dir: str) -> DataFrame:
