@@ -686,6 +686,16 @@ FROM p GROUP BY 1, 2""",
     "train_valid_split": "WITH t AS (SELECT target_id, row_number() OVER (ORDER BY target_id) AS p, count(*) OVER () AS n FROM (SELECT DISTINCT target_id FROM train)) SELECT target_id, candidate_id, CASE WHEN p <= floor(n * 0.8) THEN 'train' ELSE 'valid' END AS split FROM train JOIN t USING (target_id)",
     "ranking_metrics": f"SELECT target_id, {r('ndcg', 'map')} FROM rank_metrics",
     "ranking_metrics_mean": "SELECT count(*) AS targets, round(avg(ndcg), 4) AS ndcg, round(avg(map), 4) AS map FROM rank_metrics",
+    "lambda_gradients": """
+WITH g AS (SELECT target_id, candidate_id, -distance_mi AS s, CASE label WHEN 3 THEN 7 WHEN 2 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS gain,
+  row_number() OVER (PARTITION BY target_id ORDER BY distance_mi, candidate_id) AS r, row_number() OVER (PARTITION BY target_id ORDER BY label DESC) AS b FROM graded),
+ i AS (SELECT target_id, sum(CASE WHEN b <= 20 THEN gain / log2(b + 1) ELSE 0 END) AS ideal FROM g GROUP BY 1),
+ p AS (SELECT x.target_id, x.candidate_id AS better, y.candidate_id AS worse, 1 / (1 + exp(x.s - y.s)) AS rho,
+   (x.gain - y.gain) * abs(CASE WHEN x.r <= 20 THEN 1 / log2(x.r + 1) ELSE 0 END - CASE WHEN y.r <= 20 THEN 1 / log2(y.r + 1) ELSE 0 END) / ideal AS d
+  FROM g x JOIN g y ON y.target_id = x.target_id AND x.gain > y.gain AND least(x.r, y.r) <= 20 JOIN i ON i.target_id = x.target_id),
+ m AS (SELECT target_id, better AS candidate_id, d * rho AS l, d * rho * (1 - rho) AS c FROM p
+  UNION ALL SELECT target_id, worse, -d * rho, d * rho * (1 - rho) FROM p)
+SELECT target_id, candidate_id, round(coalesce(sum(l), 0), 4) AS lam, round(coalesce(sum(c), 0), 4) AS curvature FROM g LEFT JOIN m USING (target_id, candidate_id) GROUP BY 1, 2""",
     "baseline_median_forecast": f"SELECT target_id, m + 1 AS month, n_analogs, 100 AS formation_match_pct, {r('p50_oil', 'avg_distance_mi')} FROM median_fc",
     "baseline_batch": "SELECT well_id, basin_name, coalesce(f.n_analogs, 0) AS n_analogs, round(f.avg_distance_mi, 4) AS avg_distance_mi, CASE WHEN f.target_id IS NOT NULL THEN 100 END AS formation_match_pct, CASE WHEN f.target_id IS NULL THEN 'No candidates found' END AS error, round(p50_cum, 4) AS p50_cum FROM early e LEFT JOIN (SELECT target_id, max(n_analogs) AS n_analogs, max(avg_distance_mi) AS avg_distance_mi, sum(p50_oil) AS p50_cum FROM median_fc GROUP BY 1) f ON f.target_id = e.well_id",
     "idw_forecast": "SELECT k.target_id, y.m + 1 AS month, round(sum(y.oil * pow(greatest(distance_mi, 0.1), -2)) / sum(pow(greatest(distance_mi, 0.1), -2)), 4) AS p50_oil, count(*) AS n_analogs, round(avg(distance_mi), 4) AS avg_distance_mi FROM knn k JOIN curve y ON y.well_id = k.candidate_id GROUP BY 1, 2",

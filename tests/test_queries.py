@@ -34,7 +34,8 @@ def test_every_check_belongs_to_a_query():
     unchecked = set(entry.queries()) - set(entry.oracle_sql())
     assert unchecked == {
         "pca_embedding", "embedding_summary", "pca_top_months", "lambdarank_scores",
-        "lambdarank_forecast", "feature_importance",
+        "lambdarank_forecast", "lambdarank_metrics", "feature_importance",
+        "model_compare_trained", "hybrid_choice_trained",
     }
 
 

@@ -156,14 +156,20 @@ def group_sizes(pairs: DataFrame) -> DataFrame:
 
 
 def ranking17(
-    pairs: DataFrame, with_peaks: bool = True, keep: tuple[str, ...] = ()
+    pairs: DataFrame,
+    with_peaks: bool = True,
+    keep: tuple[str, ...] = (),
+    target_peaks: bool = True,
 ) -> DataFrame:
     """the 17 ranking features after the pair's ids and the ``keep`` columns.
 
     Needs the pair measures, ``target_lateral_length``, ``target_proppant_per_ft`` and
     ``candidate_proppant_per_ft``; with ``with_peaks`` also both sides' ``peak_oil`` and
-    ``oil_decline_rate`` (null where a well has none).  Spacing columns may be absent; a
-    missing vintage gap is taken from the two start dates, in years of 365.25 days.
+    ``oil_decline_rate`` (null where a well has none).  Without ``target_peaks`` only the
+    candidate's peak is used and the terms that compare it with the target's own future curve
+    take their defaults (1, 0, 0), as for a well that has not produced yet.  Spacing columns
+    may be absent; a missing vintage gap is taken from the two start dates, in years of 365.25
+    days.
     """
     t, c = target, candidate
     has = set(pairs.columns)
@@ -180,8 +186,8 @@ def ranking17(
         else t("proppant_per_ft") / (F.coalesce(c("proppant_per_ft"), F.lit(1.0)) + 1)
     )
 
-    if with_peaks:
-        peak = F.coalesce(c("peak_oil"), F.lit(0.0))
+    peak = F.coalesce(c("peak_oil"), F.lit(0.0)) if with_peaks else F.lit(0.0)
+    if with_peaks and target_peaks:
         known = F.coalesce(t("peak_oil") > 0, F.lit(False))
         share = peak / (t("peak_oil") + 1)
         peak_ratio = F.when(known, share).otherwise(1.0)
@@ -191,7 +197,7 @@ def ranking17(
             t("oil_decline_rate"), typical
         )
     else:
-        peak, peak_ratio, log_peak, decline = (F.lit(v) for v in (0.0, 1.0, 0.0, 0.0))
+        peak_ratio, log_peak, decline = (F.lit(v) for v in (1.0, 0.0, 0.0))
 
     gap = (
         F.col("vintage_gap_years")

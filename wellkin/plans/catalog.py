@@ -7,6 +7,7 @@ spread to one row per month, so another engine can check them value by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -696,33 +697,64 @@ def train_valid_split(spark, sf):
 # Ranker -----------------------------------------------------------------------------------
 
 
-def _ranker_frames(spark, sf):
-    return steps.ranker_frames(spark, sf)
+def _validation_scores(spark, sf):
+    add = ranker.by_basin(steps.rank_models(spark, sf), lambda model: model.transform)
+    return add(steps.ranker_pairs(spark, sf).filter("split = 'valid'"))
 
 
 @query
 def lambdarank_scores(spark, sf):
-    train, valid = _ranker_frames(spark, sf)
-    model = ranker.fit(train, valid, ranker.RankParams(rounds=3, depth=4, min_leaf=5))
-    return model.transform(valid).select("target_id", "candidate_id", "label", "score")
+    """Validation pairs of every basin, scored by the basin's model."""
+    return _validation_scores(spark, sf).select(
+        "basin_name", "target_id", "candidate_id", "label", "score"
+    )
+
+
+@query
+def lambdarank_metrics(spark, sf):
+    """NDCG and MAP of the trained scores, over the validation targets of each basin."""
+    per_target = ranker.target_metrics(_validation_scores(spark, sf))
+    basins = steps.ranker_pairs(spark, sf).select("target_id", "basin_name").distinct()
+    return (
+        per_target.join(basins, "target_id")
+        .groupBy("basin_name")
+        .agg(F.count("*").alias("targets"), F.avg("ndcg").alias("ndcg"), F.avg("map").alias("map"))
+    )
+
+
+def _model_chosen(spark, sf):
+    """Test wells' analogs scored by the trained models, cut to twenty and warped."""
+    scored = steps.rank_scorer(spark, sf)(_evaluation_pairs(spark, sf).drop("analog_rank"))
+    best = select.best(scored, 20)
+    return forecast.warped(lookup.with_curves(best, steps.early_rates(spark, sf)))
 
 
 @query
 def lambdarank_forecast(spark, sf):
     """Mean of the warped curves of each test well's twenty best analogs by the model."""
-    train, valid = _ranker_frames(spark, sf)
-    model = ranker.fit(train, valid, ranker.RankParams(rounds=3, depth=4, min_leaf=5))
-    score = ranker.scorer(model, with_peaks=False)
-    best = select.best(score(_evaluation_pairs(spark, sf).drop("analog_rank")), 20)
-    curves_ = lookup.with_curves(best, steps.early_rates(spark, sf))
-    return spread(forecast.ranked_mean(forecast.warped(curves_)), "p50_oil")
+    return spread(forecast.ranked_mean(_model_chosen(spark, sf)), "p50_oil")
 
 
 @query
 def feature_importance(spark, sf):
-    train, valid = _ranker_frames(spark, sf)
-    model = ranker.fit(train, valid, ranker.RankParams(rounds=2, depth=4, min_leaf=5))
-    return model.importance(spark)
+    """The ten most important features of each basin's model."""
+    lists = [
+        model.importance(spark).withColumn("basin_name", F.lit(basin))
+        for basin, model in steps.rank_models(spark, sf).items()
+    ]
+    return reduce(DataFrame.unionByName, lists)
+
+
+@query
+def lambda_gradients(spark, sf):
+    """Gradient and curvature of every training pair when pairs are ranked by nearness."""
+    pairs = labels.graded(steps.training(spark, sf)).select(
+        "target_id", "candidate_id", "label", (-F.col("distance_mi")).alias("score")
+    )
+    ideal = ranker.ideal_dcg(pairs).select("target_id", "ideal")
+    return ranker.lambdas(pairs.join(ideal, "target_id")).select(
+        "target_id", "candidate_id", "lam", "curvature"
+    )
 
 
 @query
@@ -885,15 +917,15 @@ def outcome_counts(spark, sf):
     return evaluate.outcome_counts(early, steps.baseline_forecast(early), "basin_name")
 
 
-def _back_test(spark, sf):
-    """Stored forecasts and errors of both models on the test wells."""
+def _back_test(spark, sf, chosen=_chosen, name="back_test"):
+    """Stored forecasts and errors of the baseline and of the `chosen` analogs on the test wells."""
 
     def build():
         tests, early = steps.test_wells(spark, sf), steps.early_rates(spark, sf)
         found = lookup.with_curves(lookup.analogs(tests, early, BASINS), early)
         models = {
             "baseline": baseline.median(found),
-            "ranked": forecast.ranked_mean(_chosen(spark, sf)),
+            "ranked": forecast.ranked_mean(chosen(spark, sf)),
         }
         scored = [
             evaluate.score(made, tests).select(
@@ -903,7 +935,7 @@ def _back_test(spark, sf):
         ]
         return scored[0].unionByName(scored[1])
 
-    table = steps.Steps.of(spark, sf).table("back_test", build, "model")
+    table = steps.Steps.of(spark, sf).table(name, build, "model")
     return [table.filter(F.col("model") == m).drop("model") for m in ("baseline", "ranked")]
 
 
@@ -916,8 +948,26 @@ def model_compare(spark, sf):
     return _comparison(*_back_test(spark, sf))
 
 
-@query
-def hybrid_choice(spark, sf):
-    plain, ranked = _back_test(spark, sf)
+def _hybrid(plain, ranked):
     choice = _comparison(plain, ranked).select("basin_name", "winner").distinct()
     return spread(forecast.hybrid(plain, ranked, choice), "p50_oil")
+
+
+@query
+def hybrid_choice(spark, sf):
+    return _hybrid(*_back_test(spark, sf))
+
+
+def _trained_back_test(spark, sf):
+    return _back_test(spark, sf, _model_chosen, "back_test_trained")
+
+
+@query
+def model_compare_trained(spark, sf):
+    """The baseline against the trained models; `model_compare` ranks by nearness instead."""
+    return _comparison(*_trained_back_test(spark, sf))
+
+
+@query
+def hybrid_choice_trained(spark, sf):
+    return _hybrid(*_trained_back_test(spark, sf))

@@ -6,6 +6,8 @@ between steps (see `stored`), the ingest steps are lazy.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wellkin.operators import (
@@ -13,11 +15,11 @@ from wellkin.operators import (
     candidates as pairs_of,
     curves,
     evaluate,
-    features,
     labels,
     lookup,
     peaks as peak_features,
     production,
+    ranker,
     spacing as spacing_of,
     wells as headers,
 )
@@ -136,15 +138,37 @@ def training_alt(
     )
 
 
-def ranker_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Stored training matrix with graded labels, split into training and validation."""
-    split = Steps.of(spark, sf_dir).table(
-        "ranker_training",
-        lambda: labels.split(
-            features.ranking17(labels.graded(training(spark, sf_dir)), keep=("label",))
-        ),
+def ranker_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored training matrix with graded labels; targets are split inside their basin."""
+
+    def build():
+        made = ranker.training_features(labels.graded(training(spark, sf_dir)))
+        parts = [
+            labels.split(made.filter(F.col("basin_name") == b.name)) for b in bindings.BOUND_BASINS
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+    return Steps.of(spark, sf_dir).table("ranker_training", build, partition_by="basin_name")
+
+
+def rank_models(spark: SparkSession, sf_dir: str) -> dict[str, ranker.RankModel]:
+    """One model per basin with the full settings, trained once per application."""
+
+    def parts(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return pairs.filter("split = 'train'"), pairs.filter("split = 'valid'")
+
+    return Steps.of(spark, sf_dir).once(
+        "rank_models",
+        lambda: ranker.fit_basins(ranker_pairs(spark, sf_dir), bindings.BOUND_BASINS, parts),
+    )
+
+
+def rank_scorer(spark: SparkSession, sf_dir: str):
+    """Scores the pairs of a lookup by the model of their basin."""
+    known = peaks(spark, sf_dir), spacing(spark, sf_dir)
+    return ranker.by_basin(
+        rank_models(spark, sf_dir), lambda model: ranker.scorer(model, *known)
     )
-    return split.filter("split = 'train'"), split.filter("split = 'valid'")
 
 
 def nearest_analogs(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:

@@ -48,7 +48,7 @@ class Steps:
     _made: dict[tuple[str, str], Steps] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._tables = spark, sf_dir, {}
+        self.spark, self.sf_dir, self._tables, self._values = spark, sf_dir, {}, {}
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Steps:
@@ -61,3 +61,9 @@ class Steps:
         if name not in self._tables:
             self._tables[name] = store(build(), name, partition_by)
         return self._tables[name]
+
+    def once(self, name: str, build):
+        """What a step leaves with the driver, such as trained models, made once."""
+        if name not in self._values:
+            self._values[name] = build()
+        return self._values[name]
