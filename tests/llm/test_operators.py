@@ -309,6 +309,24 @@ def test_simhash(spark, folder, clashing):
     assert firsts <= {r["doc_id"] for r in kept.collect()}
 
 
+def test_components_without_an_id_of_their_own_keep_a_row(spark):
+    """Null ids and an id on two texts are no links: each unrelated text keeps exactly one row."""
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    near = texts[5].replace("f39", "changed")
+    table = [
+        (None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[0]), (None, None), (None, ""),
+        (7, texts[3]), (7, texts[4]), (7, texts[3]), (None, texts[4]), (9, texts[5]), (8, near),
+    ]
+    prints = [simhash.fingerprint(t) for t in (*texts, "")]
+    far = [(a ^ b).bit_count() for k, a in enumerate(prints) for b in prints[:k]]
+    reach = max(4, (prints[5] ^ simhash.fingerprint(near)).bit_count())
+    assert min(far) > reach and reach < 12
+    kept = simhash.keep_first(spark.createDataFrame(table, "doc_id long, text string"), distance=reach)
+    got = Counter((r["doc_id"], r["text"] or "") for r in kept.collect())
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, ""), (7, texts[3]), (7, texts[4]), (8, near)]
+    assert got == Counter(want)
+
+
 def test_anchors_cover_every_close_pair():
     rng = np.random.default_rng(5)
     for first, width in simhash.BLOCKS:

@@ -17,6 +17,7 @@ components as they are.
 Defined results: a null or empty text has no shingles and the fingerprint zero, which links
 like any other; a text shorter than a shingle is one shingle; rows with equal ids keep one row
 each; null ids get a component from their fingerprint's other members, null if there is none.
+Where one row of a component is kept, components are told apart by their smallest fingerprint.
 """
 
 from __future__ import annotations
@@ -211,30 +212,41 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     )
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
-) -> DataFrame:
-    """`docs` without text, with fp and component_id: the smallest doc_id reachable by links."""
+def _grouped(docs: DataFrame, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """`docs` without text and with fp; (fp, least, group): the component by its smallest fingerprint."""
     marked = store(fingerprints(docs, shingle).drop("text"), "fingerprints")
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components.smallest_reachable(links(least.select("fp"), distance))
     grouped = least.join(roots, least["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("group")
     )
+    return marked, grouped
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
+) -> DataFrame:
+    """`docs` without text, with fp and component_id: the smallest doc_id reachable by links.
+
+    component_id does not name a component: it is null where all ids are, and two components
+    that share their smallest id have the same one.
+    """
+    marked, grouped = _grouped(docs, shingle, distance)
     smallest = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
     by_fp = grouped.join(smallest, "group").select("fp", "component_id")
     return marked.join(by_fp, "fp")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One row of each component: smallest id, then smallest text; all columns of `docs`."""
+    """One row of each component: smallest id, then smallest key of id and text; all columns of `docs`."""
     key = docs.select(
         F.col("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("row_key")
     )
-    found = near_duplicates(key, shingle, distance)
-    first = found.groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")
-    )
+    marked, grouped = _grouped(key, shingle, distance)
+    # A fingerprint's first row is all that can be first in its component.
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    by_fp = marked.groupBy("fp").agg(F.min(order).alias("first"))
+    first = by_fp.join(grouped, "fp").groupBy("group").agg(F.min("first").alias("first"))
     keep = first.select(F.col("first.row_key").alias("row_key"))
     name = "_simhash_row"
     kept = docs.withColumn(name, F.xxhash64("doc_id", "text")).join(
