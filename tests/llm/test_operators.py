@@ -159,6 +159,29 @@ def test_language(spark, folder, clashing):
     assert {r["doc_id"] for r in kept.collect()}.isdisjoint({50, 51, 52, 53})
 
 
+def test_long_and_rare_languages_are_learned(spark):
+    """Labelled texts over 16 KB count, and a language of few rows among many is predicted."""
+    rng = np.random.default_rng(4)
+
+    def text(letters, n):
+        return " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+
+    table = [(i, text("abcdef", 30), "xx") for i in range(2_000)]
+    table += [(5_000 + i, text("uvwxyz", 30), "yy") for i in range(6)]
+    table += [(6_000 + i, text("mnopqr", 4_000), "zz") for i in range(6)]
+    table += [(7_000, text("uvwxyz", 40), None), (7_001, text("mnopqr", 40), None), (7_002, "12", "xx")]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string").repartition(4)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, size=192).collect()}
+    assert all(got[i] == lang for i, _, lang in table if lang and i < 7_000)
+    assert (got[7_000], got[7_001], got[7_002]) == ("yy", "zz", "und")
+
+
+def test_without_a_labelled_row_texts_with_letters_stay(spark):
+    table = [(1, "some words", None), (2, "12 !", None), (3, None, None), (None, "é", None), (4, "", "en")]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string").filter("lang is null")
+    assert {r["doc_id"] for r in language.keep_identified(docs).collect()} == {1, None}
+
+
 def test_quality_counts_and_viterbi(spark, folder):
     got = {(r["doc_id"], r["n_words"]): r for r in quality.op5_quality(spark, folder).collect()}
     for i, t, *_ in rows():

@@ -1,23 +1,24 @@
 """Language identification with a blended-spectrum string kernel.
 
 The kernel of two texts counts the byte n-grams (n = 1, 2, 3, hashed) present in both, divided
-by the root of the product of their own numbers.  A bounded sample of labelled rows gives the
-Nystroem landmarks and the ridge regression, one language against the rest.  Because the
+by the root of the product of their own numbers.  A bounded sample of labelled rows, by language
+and of texts of any length, gives the Nystroem landmarks and the ridge regression, one language
+against the rest.  Whole texts become presence bits where they are read; only these travel.  Because the
 presence kernel is a dot product, landmarks, Nystroem map and ridge weights multiply out to one
 matrix; texts are scored by batched products of their presence rows with it.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; null languages
-are never learned; equal scores go to the language that sorts first; without any labelled row
-every text is ``und``; repeated rows get equal results.
+and null texts are never learned; equal scores go to the language that sorts first; without any
+labelled row every text is ``und``; repeated rows get equal results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellkin.llm import corpus
@@ -28,8 +29,8 @@ FOLD = 4
 DIMS, ORDERS, LANDMARKS, RIDGE, SAMPLE = 1 << 13, (1, 2, 3), 256, 1e-2, 4_000
 #: Rows and bytes of one presence matrix.
 ROWS, BYTES = 64, 1 << 20
-#: Texts to learn from are no longer than this, which bounds the sample.
-LEARN_BYTES = 1 << 14
+#: Rows to learn from that each language may have, however many languages share the sample.
+LEAST_ROWS = 64
 
 NONE = "und"
 
@@ -62,43 +63,76 @@ def _normal(seen: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
 
 
-def fit(texts: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]:
-    """Languages and the DIMS x languages matrix of the fitted classifier."""
+def fit(packed: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """Languages and the matrix of the fitted classifier, from presence rows as packed bits."""
     names = sorted(set(langs))
     if not names:
         return [], np.zeros((DIMS, 0), np.float32)
-    x = np.concatenate([_normal(presence(texts[i : i + ROWS])) for i in range(0, len(texts), ROWS)])
+
+    def normal(at: list[int] | range) -> np.ndarray:
+        bits = np.frombuffer(b"".join(packed[i] for i in at), np.uint8).reshape(len(at), -1)
+        return _normal(np.unpackbits(bits, axis=1))
+
+    n = len(packed)
     y = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in langs])
     by_lang = [[i for i, lang in enumerate(langs) if lang == name] for name in names]
     share = -(-LANDMARKS // len(names))
-    marks = x[sorted(i for rows in by_lang for i in rows[:share])]
+    marks = normal(sorted(i for rows in by_lang for i in rows[:share]))
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    z = np.hstack([(x @ marks.T).astype(np.float64) @ root, np.ones((len(x), 1))])
+    parts = [range(i, min(i + ROWS, n)) for i in range(0, n, ROWS)]
+    z = np.concatenate([(normal(part) @ marks.T).astype(np.float64) @ root for part in parts])
+    z = np.hstack([z, np.ones((n, 1))])
     # Each language's rows weigh as much as the rest, so rare languages are learned too.
     weight = np.where(y > 0, 0.5 / np.maximum((y > 0).sum(0), 1), 0.5 / np.maximum((y < 0).sum(0), 1))
     beta = []
     for k in range(len(names)):
         zw = z * weight[:, [k]]
-        beta.append(np.linalg.solve(z.T @ zw + RIDGE / len(x) * np.eye(z.shape[1]), zw.T @ y[:, k]))
+        beta.append(np.linalg.solve(z.T @ zw + RIDGE / n * np.eye(z.shape[1]), zw.T @ y[:, k]))
     beta = np.array(beta).T
     folded = marks.T @ (root @ beta[:-1])
     # The bias travels as a last row.
     return names, np.vstack([folded, beta[-1:]]).astype(np.float32)
 
 
+def _shares(known: DataFrame, quota: Callable[[int], int]) -> tuple[DataFrame, int]:
+    """(lang, below): the hash under which about twice the quota of a language's rows lie; the quota.
+
+    There is a row per language, and the driver holds a column of the model for each anyway.
+    """
+    totals = known.groupBy("lang").count().collect()
+    size = quota(max(1, len(totals)))
+    rows = []
+    for lang, total in totals:
+        share = min(1.0, 2 * size / total)
+        rows.append((lang, int(-(2**63) + share * 2**64) if share < 1 else 2**63 - 1))
+    return known.sparkSession.createDataFrame(rows, "lang string, below long"), size
+
+
 def learn(docs: DataFrame, size: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Fit on at most `size` labelled training rows of moderate length, lowest id hashes first."""
-    known = docs.filter("lang is not null").filter(~corpus.fold(FOLD))
-    digest = F.xxhash64(F.col("doc_id"), F.lit("lang"))
-    known = corpus.low_hashes(known.select("doc_id", "lang", "text"), digest, size)
-    known = known.filter(F.octet_length("text") <= LEARN_BYTES)
-    sample = known.select("lang", "text", "k").orderBy("k", "lang", "text").limit(size)
+    """Fit on each language's labelled training rows of lowest hashes: all share `size` evenly.
+
+    Texts of any length count whole.  A language has its part even if it is rare, LEAST_ROWS rows
+    at least, or all it has.
+    """
+    known = docs.filter("lang is not null and text is not null").filter(~corpus.fold(FOLD))
+    known = known.select("lang", "text", F.xxhash64("doc_id", "text", F.lit("lang")).alias("k"))
+    shares, quota = _shares(known, lambda names: max(LEAST_ROWS, size // names))
+
+    @F.pandas_udf("binary")
+    def bits(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: np.packbits(presence([_raw(t)])[0]).tobytes())
+
+    low = known.join(F.broadcast(shares), "lang").filter("k <= below")
+    rows = low.select("lang", "k", bits("text").alias("bits"))
+    # Equal hashes are repeated rows, so which of them is taken makes no difference.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("k"))
+    sample = rows.withColumn("place", place).filter(F.col("place") <= quota).drop("place")
 
     def fitted(rows: pd.DataFrame) -> tuple[list[str], np.ndarray]:
-        rows = rows.sort_values(["k", "lang", "text"])
-        return fit([_raw(t) for t in rows["text"]], list(rows["lang"]))
+        rows = rows.sort_values(["k", "lang"])
+        return fit(list(rows["bits"]), list(rows["lang"]))
 
     return corpus.fit_in_task(sample, fitted)
 
@@ -109,8 +143,11 @@ def _has_letter(text: str | None) -> bool:
 
 def identify(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
     """All columns of `docs` and lang_pred, lang_score."""
-    names, matrix = learn(docs, size)
-    shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
+    return _labelled(docs, learn(docs, size))
+
+
+def _labelled(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, lang_score double")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -133,10 +170,17 @@ def identify(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose text has a language, all columns."""
+    """The rows of `docs` whose text has a language, all columns.
+
+    Without any labelled row there is none to find; then only null and letterless texts go.
+    """
     own = docs.columns
     kept = docs.select("doc_id", "text", "lang", F.struct(*own).alias("_row"))
-    found = identify(kept).filter(F.col("lang_pred") != NONE)
+    model = learn(kept)
+    if model[0]:
+        found = _labelled(kept, model).filter(F.col("lang_pred") != NONE)
+    else:
+        found = kept.filter(F.pandas_udf(lambda texts: texts.map(_has_letter), "boolean")("text"))
     return found.select("_row.*")
 
 
