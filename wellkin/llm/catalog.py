@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from wellkin.llm import (
+    chat,
     decontaminate,
     extract,
+    importance,
     language,
     licenses,
     packing,
@@ -35,6 +37,8 @@ _QUERIES = {
     "op8_extract": extract.op8_extract,
     "op9_simhash": simhash.op9_simhash,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_chat_prefixes": chat.op11_chat_prefixes,
+    "op12_importance": importance.op12_importance,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -53,4 +57,4 @@ def _for_workers(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES = {name: _for_workers(query) for name, query in _QUERIES.items()}
-ORACLE = {**licenses.ORACLE, **decontaminate.ORACLE}
+ORACLE = {**licenses.ORACLE, **decontaminate.ORACLE, **chat.ORACLE, **importance.ORACLE}
