@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from wellkin.llm import (
+    alignment,
     chat,
     decontaminate,
     extract,
@@ -39,6 +40,7 @@ _QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_chat_prefixes": chat.op11_chat_prefixes,
     "op12_importance": importance.op12_importance,
+    "op13_alignment": alignment.op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
