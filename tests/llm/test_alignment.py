@@ -77,7 +77,7 @@ def _pieces(sentencepiece):
 
 
 def named(groups):
-    return ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+    return ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups).encode()
 
 
 def align_by_force(table):
@@ -99,7 +99,7 @@ def align_by_force(table):
                 len(groups),
                 best,
                 sum(each),
-                hashlib.sha256(named(groups).encode()).hexdigest() if groups else "",
+                hashlib.sha256(named(groups)).hexdigest() if groups else "",
             )
         )
     return sorted(out, key=repr)
@@ -158,10 +158,39 @@ def test_cut_texts_tokenise_as_whole_ones(text, size):
     assert "".join(full[p[0] : q[0]] for p, q in zip(places, places[1:])) == full
     made = [[], []]
     for (a, b), (a_to, b_to) in zip(places, places[1:]):
-        made[0] += both().first.encode(full[a:a_to], add_special_tokens=False).ids if a < a_to else []
-        made[1] += both().second.encode(full[b + 1 : b_to]) if b < b_to else []
-    assert made[0] == both().first.encode(full, add_special_tokens=False).ids
-    assert made[1] == both().second.encode(text)
+        made[0] += both().encode_a(full[a:a_to]).tolist()
+        made[1] += both().encode_b(full[b + 1 : b_to]) if b < b_to else []
+    assert made[0] == named_tokenizer().encode(full, add_special_tokens=False).ids
+    assert made[1] == both().encode_b(text)
+
+
+@functools.cache
+def named_tokenizer():
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(FILES[0])
+    made.encode_special_tokens = True
+    return made
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=80))
+def test_ids_are_the_tokenizer_files(text):
+    got = named_tokenizer().encode(" " + text, add_special_tokens=False).ids
+    assert both().encode_a(" " + text).tolist() == got
+
+
+WORD = st.text(st.characters(exclude_categories=("Z", "C")), min_size=1, max_size=6)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(WORD, min_size=1, max_size=4).map(" ".join), min_size=1, max_size=4).map("\n".join))
+def test_words_align_as_in_their_text(text):
+    if not both().regular(text):
+        return
+    whole = finished(both().fragment(" " + text, 0, " " + text, 0))
+    (words,) = both().aligned([text])
+    assert words[:3] == whole[:3] and words[3].tolist() == whole[3].tolist()
 
 
 @st.composite

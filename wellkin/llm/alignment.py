@@ -14,6 +14,10 @@ white space (blank or line end for the byte-level one, a lone blank for the othe
 whose pieces has its blank mark after another character) after a character that isn't one.  The two sequences' cuts
 therefore differ, and groups are open across them.  A text without such places is one range.
 
+A short text whose white space is single blanks and line ends needs no ranges: both sequences end
+a token at every word's end, so a word's fragment has closed groups only.  A worker aligns the
+words that are new to it together, and a text's groups are its words', one after the other.
+
 Counts of linked id pairs cover the whole corpus: blocks of documents count their pairs, the
 counts are summed by pair, the highest of each B id is found, and the sums travel back to the
 blocks that asked.  No table of pairs is gathered or broadcast.
@@ -27,9 +31,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import json
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,10 +47,14 @@ from wellkin.llm import corpus
 from wellkin.plans.stored import store
 
 #: Characters of a range, fragments composed at once, bytes of text of a block.
-RANGE, FAN, BLOCK_BYTES = 1 << 18, 16, 8_000_000
+RANGE, FAN, BLOCK_BYTES = 1 << 16, 16, 8_000_000
+#: Characters of short texts aligned at once, texts returned at once, words that a worker remembers.
+AT_ONCE, RETURNED, REMEMBERED = 1 << 21, 500, 250_000
 
 _CUT_A = re.compile(r"(?<=\S)(?=[ \n])")
 _CUT_B = re.compile(r"(?<=\S)(?= \S)")
+#: Any white space that isn't a single blank or line end between other characters.
+_IRREGULAR = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
 
 
 @dataclass
@@ -77,7 +87,7 @@ class Fragment:
     """head, closed groups as text (each led by a semicolon) and links, tail; body is None if all is open."""
 
     head: Open
-    body: str | None
+    body: bytes | None
     links: np.ndarray
     tail: Open
     n_a: int
@@ -90,28 +100,36 @@ _NO_LINKS = np.zeros(0, np.int64)
 
 
 @functools.lru_cache(maxsize=32)
-def _names(n_ids: int) -> list[str]:
-    """Text of an id within a group, at a group's start, and at the start of its B tokens."""
-    return [f"{mark}{i}" for mark in ",;|" for i in range(n_ids)]
+def _names(n_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of an id within a group, at a group's start, and at the start of its B tokens; and
+    which of them are set."""
+    names = np.array([f"{mark}{i}".encode() for mark in ",;|" for i in range(n_ids)])
+    table = names.view(np.uint8).reshape(len(names), -1)
+    return table, table > 0
 
 
 def code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a << 32) | b
 
 
-def _groups(part: Open, a_last: np.ndarray, b_last: np.ndarray) -> tuple[str, np.ndarray]:
-    """Text and links of closed groups, given the places of each group's last tokens."""
-    n_ids = int(max(part.a.max(), part.b.max())) + 1
-    n_ids = 1 << n_ids.bit_length()
+def _groups(
+    part: Open, a_last: np.ndarray, b_last: np.ndarray
+) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Text, links and ends in the text of closed groups, given the places of their last tokens."""
+    n_ids = 1 << (int(max(part.a.max(), part.b.max())) + 1).bit_length()
     n_a, n_b = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
-    first = np.cumsum(n_a + n_b) - n_a - n_b
+    ends = np.cumsum(n_a + n_b)
+    first = ends - n_a - n_b
     out = np.empty(len(part.a) + len(part.b), np.int64)
     a_first, b_first = a_last + 1 - n_a, b_last + 1 - n_b
     out[np.arange(len(part.a)) + np.repeat(first - a_first, n_a)] = part.a
     out[np.arange(len(part.b)) + np.repeat(first + n_a - b_first, n_b)] = part.b
     out[first] += n_ids
     out[first + n_a] += 2 * n_ids
-    return "".join(map(_names(n_ids).__getitem__, out.tolist())), code(part.a[a_last], part.b[b_last])
+    table, used = _names(n_ids)
+    used = used[out]
+    text = table[out][used].tobytes()
+    return text, code(part.a[a_last], part.b[b_last]), np.cumsum(used.sum(axis=1))[ends - 1]
 
 
 def close(tokens: Open, n_a: int = 0, n_b: int = 0, whole: bool = True) -> Fragment:
@@ -124,16 +142,16 @@ def close(tokens: Open, n_a: int = 0, n_b: int = 0, whole: bool = True) -> Fragm
         return Fragment(tokens, None, _NO_LINKS, _NOTHING, n_a, n_b, whole)
     b_last = at[a_last]
     head, rest = tokens.cut(a_last[0] + 1, b_last[0] + 1)
-    body, links = "", _NO_LINKS
+    body, links = b"", _NO_LINKS
     if len(a_last) > 1:
         inner, rest = rest.cut(a_last[-1] - a_last[0], b_last[-1] - b_last[0])
-        body, links = _groups(inner, a_last[1:] - a_last[0] - 1, b_last[1:] - b_last[0] - 1)
+        body, links, _ = _groups(inner, a_last[1:] - a_last[0] - 1, b_last[1:] - b_last[0] - 1)
     return Fragment(head, body, links, rest, n_a, n_b, whole)
 
 
-def _first_group(head: Open) -> tuple[str, np.ndarray]:
+def _first_group(head: Open) -> tuple[bytes, np.ndarray]:
     """A prefix as a closed group, once its start is known."""
-    return _groups(head, np.array([len(head.a) - 1]), np.array([len(head.b) - 1]))
+    return _groups(head, np.array([len(head.a) - 1]), np.array([len(head.b) - 1]))[:2]
 
 
 def compose(left: Fragment, right: Fragment) -> Fragment:
@@ -156,10 +174,14 @@ def compose(left: Fragment, right: Fragment) -> Fragment:
     return Fragment(head, body, links, tail, n_a, n_b, whole)
 
 
-def finished(fragment: Fragment) -> tuple[int, int, str, np.ndarray]:
+#: n_a, n_b, groups and links of a text without tokens.
+NONE = 0, 0, b"", _NO_LINKS
+
+
+def finished(fragment: Fragment) -> tuple[int, int, bytes, np.ndarray]:
     """n_a, n_b, groups and links of a whole text."""
     if not fragment.whole or fragment.body is None:
-        return 0, 0, "", _NO_LINKS
+        return NONE
     text, link = _first_group(fragment.head)
     return fragment.n_a, fragment.n_b, (text + fragment.body)[1:], np.concatenate([link, fragment.links])
 
@@ -172,42 +194,125 @@ def _byte_names() -> dict[str, int]:
 
 
 class Tokenizers:
-    """ids of both tokenizers and the bytes that each id stands for."""
+    """ids of both tokenizers and the bytes that each id stands for.
+
+    The byte-level vocabulary numbers its pieces in the order of their merges, so its file is
+    all that a rank-based encoder of the same ids needs.
+    """
 
     def __init__(self, byte_level: str, pieces: str):
+        import public_tokenizers
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        self.first = Tokenizer.from_file(byte_level)
-        self.first.encode_special_tokens = True
-        self.second = SentencePieceProcessor(model_file=pieces)
-        names, special = _byte_names(), self.first.get_added_tokens_decoder()
-        self.a_bytes = [b""] * (max(self.first.get_vocab().values()) + 1)
-        for piece, i in self.first.get_vocab().items():
-            self.a_bytes[i] = piece.encode() if i in special else bytes(map(names.__getitem__, piece))
+
+        with open(byte_level, encoding="utf-8") as file:
+            made = json.load(file)
+        special = {t["content"] for t in made["added_tokens"]}
+        names = _byte_names()
+        ranks = {
+            bytes(map(names.__getitem__, piece)): i
+            for piece, i in made["model"]["vocab"].items()
+            if piece not in special
+        }
+        first = tiktoken.Encoding(
+            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        )
+
+        def encode_a(text: str) -> np.ndarray:
+            return first.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+
+        self.encode_a = encode_a
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for raw, i in ranks.items():
+            self.a_bytes[i] = raw
+        second = SentencePieceProcessor(model_file=pieces)
+        self.encode_b = second.encode
+        named = [second.id_to_piece(i) for i in range(second.get_piece_size())]
         self.b_bytes = [
-            bytes([int(self.second.id_to_piece(i)[3:5], 16)])
-            if self.second.is_byte(i)
-            else self.second.id_to_piece(i).replace("▁", " ").encode()
-            for i in range(self.second.get_piece_size())
+            bytes([int(p[3:5], 16)]) if second.is_byte(i) else p.replace("▁", " ").encode()
+            for i, p in enumerate(named)
         ]
-        self.a_length = np.array(list(map(len, self.a_bytes)), np.int64)
-        self.b_length = np.array(list(map(len, self.b_bytes)), np.int64)
+        self.by_words = not any("\n" in p or "▁" in p.lstrip("▁") for p in named)
+        self.words = _Words([], [], np.zeros((0, 2), np.int64), {})
+        self.a_length, self.b_length = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
 
     def fragment(self, a_text: str, a_start: int, b_text: str, b_start: int) -> Fragment:
         """Of two ranges of a text that start with a blank, and the byte offsets they start at."""
-        a = self.first.encode(a_text, add_special_tokens=False).ids if a_text else []
-        b = self.second.encode(b_text[1:]) if b_text else []
-        whole = (
-            b"".join(map(self.a_bytes.__getitem__, a)) == a_text.encode()
-            and b"".join(map(self.b_bytes.__getitem__, b)) == b_text.encode()
-        )
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        if not whole:
+        a = self.encode_a(a_text)
+        b = self.encode_b(b_text[1:]) if b_text else []
+        if not (self._same(a_text, a.tolist(), self.a_bytes) and self._same(b_text, b, self.b_bytes)):
             return Fragment(_NOTHING, None, _NO_LINKS, _NOTHING, len(a), len(b), False)
+        b = np.array(b, np.int64)
         tokens = Open(a, a_start + np.cumsum(self.a_length[a]), b, b_start + np.cumsum(self.b_length[b]))
         return close(tokens, len(a), len(b))
 
+    @staticmethod
+    def _same(text: str, ids: Iterable[int], names: list[bytes]) -> bool:
+        return b"".join(map(names.__getitem__, ids)) == text.encode()
+
+    def regular(self, text: str) -> bool:
+        return self.by_words and not _IRREGULAR.search(text)
+
+    def _learn(self, words: list[str]) -> None:
+        """Align words by themselves; a word is led by the line end before it, else by a blank."""
+        known, start = self.words, len(self.words.groups)
+        known.place.update(zip(words, range(start, start + len(words))))
+        spelt = [w if w[0] == "\n" else " " + w for w in words]
+        # Where a line end leads, the tokenizer's own blank stands before it.
+        pieces = [p[w[0] == "\n" :] for w, p in zip(words, self.encode_b(words), strict=True)]
+        at, given = range(len(words)), itertools.chain.from_iterable
+        if not self._same("".join(spelt), given(pieces), self.b_bytes):
+            at = [i for i in at if self._same(spelt[i], pieces[i], self.b_bytes)]
+            spelt, pieces = [spelt[i] for i in at], [pieces[i] for i in at]
+        groups, links, counts = [None] * len(words), [b""] * len(words), np.zeros((len(words), 2), np.int64)
+        if spelt:
+            a, b = self.encode_a("".join(spelt)), np.fromiter(given(pieces), np.int64)
+            a_ends, b_ends = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+            place = np.minimum(np.searchsorted(b_ends, a_ends), len(b) - 1)
+            a_last = np.flatnonzero(b_ends[place] == a_ends)
+            b_last = place[a_last]
+            text, codes, text_ends = _groups(Open(a, a_ends, b, b_ends), a_last, b_last)
+            # Both sequences end a token with every word, so the words' ends are among the groups'.
+            group = np.searchsorted(a_ends[a_last], np.cumsum([len(w.encode()) for w in spelt]))
+            counts[at, 0] = np.diff(a_last[group], prepend=-1)
+            counts[at, 1] = np.diff(b_last[group], prepend=-1)
+            raw, low, first = codes.tobytes(), 0, 0
+            for i, last, high in zip(at, (8 * (group + 1)).tolist(), text_ends[group].tolist()):
+                groups[i], links[i] = text[low:high], raw[first:last]
+                low, first = high, last
+        known.groups += groups
+        known.links += links
+        known.counts = np.concatenate([known.counts, counts])
+
+    def aligned(self, texts: list[str]) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+        """n_a, n_b, groups and links of each of some regular texts."""
+        split = [text.replace("\n", " \n").split(" ") for text in texts]
+        words = set().union(*split)
+        if len(self.words.groups) > REMEMBERED:
+            self.words = _Words([], [], np.zeros((0, 2), np.int64), {})
+        if new := list(words - self.words.place.keys()):
+            self._learn(new)
+        known = self.words
+        for found in split:
+            at = list(map(known.place.__getitem__, found))
+            made = list(map(known.groups.__getitem__, at))
+            if None in made:
+                yield NONE
+            else:
+                n_a, n_b = known.counts[np.array(at)].sum(axis=0).tolist()
+                links = b"".join(map(known.links.__getitem__, at))
+                yield n_a, n_b, b"".join(made)[1:], np.frombuffer(links, np.int64)
+
+
+@dataclass
+class _Words:
+    """Groups (None: not given back), links and token counts of words by themselves, by place."""
+
+    groups: list[bytes | None]
+    links: list[bytes]
+    counts: np.ndarray
+    place: dict[str, int]
+
 
 @functools.lru_cache(maxsize=1)
 def tokenizers(byte_level: str, pieces: str) -> Tokenizers:
@@ -238,15 +343,15 @@ def cuts(text: str, size: int) -> list[tuple[int, int]]:
 _DONE = "doc_id long, n_a long, n_b long, groups_sha256 string, codes binary, counts binary"
 
 
-def _rows(made: list[tuple[object, Fragment]]) -> pd.DataFrame:
-    out = []
-    for doc, fragment in made:
-        n_a, n_b, groups, links = finished(fragment)
-        codes, counts = np.unique(links, return_counts=True)
-        digest = hashlib.sha256(groups.encode()).hexdigest() if n_a else ""
-        out.append((doc, n_a, n_b, digest, codes.tobytes(), counts.astype("<u4").tobytes()))
+def _row(doc: int | None, n_a: int, n_b: int, groups: bytes, links: np.ndarray) -> tuple:
+    codes, counts = np.unique(links, return_counts=True)
+    digest = hashlib.sha256(groups).hexdigest() if n_a else ""
+    return doc, n_a, n_b, digest, codes.tobytes(), counts.astype("<u4").tobytes()
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
     names = [c.split()[0] for c in _DONE.split(", ")]
-    return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+    return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
 
 def _ids(column: pd.Series) -> list[int | None]:
@@ -254,17 +359,31 @@ def _ids(column: pd.Series) -> list[int | None]:
     return [None if i is None else int(i) for i in column]
 
 
-_EMPTY = Fragment(_NOTHING, None, _NO_LINKS, _NOTHING, 0, 0, False)
-
-
 def _short(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         both = tokenizers(*files)
+
+        def found(texts: list[str | None]) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+            plain = [bool(text) and both.regular(text) for text in texts]
+            words = both.aligned([text for text, p in zip(texts, plain) if p])
+            for text, p in zip(texts, plain):
+                if p:
+                    yield next(words)
+                else:
+                    yield finished(both.fragment(" " + text, 0, " " + text, 0)) if text else NONE
+
         for batch in batches:
-            made = []
-            for doc, text in zip(_ids(batch["doc_id"]), batch["text"], strict=True):
-                made.append((doc, both.fragment(" " + text, 0, " " + text, 0) if text else _EMPTY))
-            yield _rows(made)
+            ids, texts, first = _ids(batch["doc_id"]), batch["text"].tolist(), 0
+            while first < len(ids):
+                last, size = first, 0
+                while last < len(ids) and size < AT_ONCE:
+                    size += len(texts[last] or "")
+                    last += 1
+                pairs = zip(ids[first:last], found(texts[first:last]), strict=True)
+                made = (_row(doc, *one) for doc, one in pairs)
+                while rows := list(itertools.islice(made, RETURNED)):
+                    yield _frame(rows)
+                first = last
 
     return docs.mapInPandas(run, _DONE)
 
@@ -311,9 +430,11 @@ def _long(docs: DataFrame, files: tuple[str, str], size: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         both = tokenizers(*files)
         for batch in batches:
-            given = zip(batch["a_text"], batch["a_start"], batch["b_text"], batch["b_start"], strict=True)
-            made = [pickle.dumps(both.fragment(*one)) for one in given]
-            yield batch[["row", "doc_id", "k"]].assign(fragment=made)
+            for one in batch.itertuples(index=False):
+                made = both.fragment(one.a_text, one.a_start, one.b_text, one.b_start)
+                yield pd.DataFrame(
+                    {"row": [one.row], "doc_id": [one.doc_id], "k": [one.k], "fragment": [pickle.dumps(made)]}
+                )
 
     def composed(rows: pd.DataFrame) -> pd.DataFrame:
         parts = map(pickle.loads, rows.sort_values("k")["fragment"])
@@ -325,7 +446,8 @@ def _long(docs: DataFrame, files: tuple[str, str], size: int) -> DataFrame:
 
     def end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield _rows(list(zip(_ids(batch["doc_id"]), map(pickle.loads, batch["fragment"]), strict=True)))
+            for doc, fragment in zip(_ids(batch["doc_id"]), batch["fragment"], strict=True):
+                yield _frame([_row(doc, *finished(pickle.loads(fragment)))])
 
     parts = ranges.repartition("row", "k").mapInPandas(run, _PARTS)
     while longest > 1:
