@@ -49,7 +49,7 @@ from wellkin.plans.stored import store
 #: Characters of a range, fragments composed at once, bytes of text of a block.
 RANGE, FAN, BLOCK_BYTES = 1 << 16, 16, 8_000_000
 #: Characters of short texts aligned at once, texts returned at once, words that a worker remembers.
-AT_ONCE, RETURNED, REMEMBERED = 1 << 21, 500, 250_000
+AT_ONCE, RETURNED, REMEMBERED = 1 << 19, 500, 80_000
 
 _CUT_A = re.compile(r"(?<=\S)(?=[ \n])")
 _CUT_B = re.compile(r"(?<=\S)(?= \S)")
