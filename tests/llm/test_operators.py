@@ -2,8 +2,6 @@
 
 import hashlib
 import zlib
-from collections import Counter
-from math import log10
 
 import numpy as np
 import pandas as pd
@@ -21,7 +19,6 @@ from wellkin.llm import (
     quality,
     repeats,
     simhash,
-    suffixtree,
     toxicity,
 )
 
@@ -125,28 +122,6 @@ def test_licenses_and_null_texts(spark):
     assert all(any(t in s for t in licenses.TRIGGERS) for s in licenses.SENTENCES.values())
 
 
-def test_suffix_tree_base_scores(spark, folder):
-    got = {}
-    for r in suffixtree.op3_suffix_tree(spark, folder).collect():
-        got.setdefault((r["doc_id"], r["n_tokens"]), r)
-    train = [(i, t) for i, t, *_ in rows() if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
-    count = Counter(w for _, t in train for w in [*suffixtree.words(t), b"\n"])
-    n, v = sum(count.values()), len(count)
-    for i, t, *_ in rows():
-        w = [*suffixtree.words(t), b"\n"]
-        r = got[i, len(w)]
-        assert r["train_tokens"] == n and r["n_known"] == sum(count[x] > 0 for x in w)
-        assert r["base_score"] == pytest.approx(sum(log10((count[x] + 1) / (n + v + 1)) for x in w))
-        assert r["score"] < 0 and r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 7 == 2)
-
-
-def test_suffix_tree_is_a_distribution(docs):
-    tree = suffixtree.learn(docs)
-    for context in (b"", b"th", b"word1", b"zz"):
-        raw = [np.frombuffer(b"\n" + context + bytes([s]), np.uint8) for s in range(256)]
-        assert sum(10 ** float(tree.score(x)[-1]) for x in raw) == pytest.approx(1, abs=1e-3)
-
-
 def test_language(spark, folder, clashing):
     got = language.op4_language(spark, folder).collect()
     assert len(got) == len(rows()) and all(0 <= r["score"] <= 1 for r in got)
