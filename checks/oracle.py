@@ -438,6 +438,57 @@ SELECT b.basin_name, b.n_wells, CASE WHEN b.median < r.median THEN 'baseline' EL
 FROM test_stats b JOIN test_stats r ON r.basin_name = b.basin_name AND r.model = 'ranked' WHERE b.model = 'baseline'""",
 }
 
+CTE |= {
+    # Log curves of the wells with enough producing months, standardised by month.
+    "pca_input": " UNION ALL ".join(
+        f"""
+SELECT '{f}' AS fluid, well_id, m, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS z
+FROM (SELECT well_id, m, ln(1 + {f}) AS x FROM curve
+  WHERE well_id IN (SELECT well_id FROM curve WHERE {f} > 0 GROUP BY 1 HAVING count(*) >= 7)) AS v{f}
+WINDOW w AS (PARTITION BY m)"""
+        for f in ("oil", "gas")
+    ),
+    # Eigenvectors of the correlations: a matrix squared thirty times (and scaled by its trace)
+    # is the projection on its first one; take that part off and begin again.
+    "pca_model": """
+WITH RECURSIVE cell AS (
+  SELECT a.fluid, a.m AS i, b.m AS j, avg(a.z * b.z) AS c
+  FROM pca_input a JOIN pca_input b ON b.fluid = a.fluid AND b.well_id = a.well_id GROUP BY 1, 2, 3),
+line AS (SELECT fluid, i, list(c ORDER BY j) AS l FROM cell GROUP BY 1, 2),
+run(fluid, component, step, a, p) AS (
+  SELECT fluid, 1, 0, list(l ORDER BY i), list(l ORDER BY i) FROM line GROUP BY 1
+  UNION ALL
+  SELECT fluid, component + (step = 30)::INT, CASE WHEN step = 30 THEN 0 ELSE step + 1 END,
+    CASE WHEN step = 30 THEN rest ELSE a END, CASE WHEN step = 30 THEN rest ELSE squared END
+  FROM (
+    SELECT *, list_transform(a, lambda l, i: list_transform(l, lambda c, j: c - value * v[i] * v[j])) AS rest,
+      list_transform(p, lambda l: list_transform(p, lambda k: list_dot_product(l, k) / trace)) AS squared
+    FROM (
+      SELECT *, list_dot_product(v, list_transform(a, lambda l: list_dot_product(l, v))) AS value
+      FROM (
+        SELECT *, list_transform(p[place], lambda c: c / sqrt(list_dot_product(p[place], p[place]))) AS v,
+          list_sum(list_transform(p, lambda l: list_dot_product(l, l))) AS trace
+        FROM (
+          SELECT *, list_position(diagonal, list_max(diagonal)) AS place
+          FROM (SELECT *, list_transform(p, lambda l, i: l[i]) AS diagonal FROM run WHERE component <= 4) AS r1
+        ) AS r2) AS r3) AS r4) AS r5)
+SELECT fluid, component, v, list_dot_product(v, list_transform(a, lambda l: list_dot_product(l, v))) / len(v) AS share
+FROM (SELECT *, list_transform(p[place], lambda c: c / sqrt(list_dot_product(p[place], p[place]))) AS v
+  FROM (SELECT *, list_position(diagonal, list_max(diagonal)) AS place
+    FROM (SELECT *, list_transform(p, lambda l, i: l[i]) AS diagonal FROM run WHERE step = 30 AND component <= 4) AS f1
+  ) AS f2) AS f3""",
+    "pca_score": """
+SELECT fluid, well_id, component, sum(z * v[m + 1]) AS pc FROM pca_input JOIN pca_model USING (fluid) GROUP BY 1, 2, 3""",
+    "pca_oil": """
+SELECT well_id, list(pc ORDER BY component) AS pcs FROM pca_score WHERE fluid = 'oil' GROUP BY 1""",
+    # Similarity and differences of the two wells' components, 0 where one has none.
+    "pca_pair": """
+SELECT target_id, candidate_id, coalesce(list_dot_product(t.pcs, c.pcs)
+    / (sqrt(list_dot_product(t.pcs, t.pcs)) * sqrt(list_dot_product(c.pcs, c.pcs)) + 1e-8), 0) AS embedding_similarity, """
+    + ", ".join(f"coalesce(c.pcs[{i + 1}] - t.pcs[{i + 1}], 0) AS embedding_diff_{i}" for i in range(4))
+    + """ FROM alt LEFT JOIN pca_oil t ON t.well_id = target_id LEFT JOIN pca_oil c ON c.well_id = candidate_id""",
+}
+
 _KEYS = list(CTE)
 
 
@@ -530,6 +581,7 @@ _MATRIX = [
     "vintage_gap_years", "vintage_gap_abs", "vintage_match", "same_season", "month_diff", "candidate_oil_per_ft",
     "oil_per_ft_ratio", "target_lateral", "candidate_lateral", "target_ppf", "candidate_ppf", "ty", "cy",
     *[f"CASE WHEN ({_BUCKET}) = '{x}' THEN 1 ELSE 0 END" for x in _LABELS],
+    "embedding_similarity", *[f"embedding_diff_{i}" for i in range(4)],
     "analog_score",
 ]
 
@@ -603,7 +655,7 @@ _QUERIES = {
     "candidate_measures": f"SELECT target_id, candidate_id, basin_name, formation_match, same_operator, vintage_gap_years, target_operator_name, candidate_operator_name, target_formation, candidate_formation, wells_within_1mi_at_start, wells_within_3mi_at_start, {r('distance_mi', 'length_ratio', 'delta_length', 'ppf_ratio', 'fpf_ratio', 'distance_to_nearest_at_start', 'distance_to_second_nearest_at_start')} FROM cand",
     "candidate_stats": "SELECT basin_name, count(DISTINCT target_id) AS unique_targets, count(DISTINCT candidate_id) AS unique_candidates, count(*) AS total_pairs, round(avg(distance_mi), 4) AS avg_distance_mi, round(median(distance_mi), 4) AS median_distance_mi, round(avg(formation_match) * 100, 4) AS pct_formation_match, round(avg(same_operator) * 100, 4) AS pct_same_operator, round(avg(vintage_gap_years), 4) AS avg_vintage_gap, round(min(distance_mi), 4) AS min_distance_mi, round(max(distance_mi), 4) AS max_distance_mi, round(avg(wells_within_1mi_at_start), 4) AS avg_wells_1mi, round(avg(wells_within_3mi_at_start), 4) AS avg_wells_3mi, round(avg(distance_to_nearest_at_start), 4) AS avg_nearest_mi, round(avg(distance_to_second_nearest_at_start), 4) AS avg_second_nearest_mi FROM cand GROUP BY 1",
     "candidates_per_target": "SELECT basin_name, round(avg(n), 4) AS avg_candidates_per_target, min(n) AS min_candidates, max(n) AS max_candidates, median(n) AS median_candidates FROM (SELECT basin_name, target_id, count(*) AS n FROM cand GROUP BY 1, 2) AS x GROUP BY 1",
-    "candidate_top": "SELECT target_id, candidate_id, rank, round(distance_mi, 4) AS distance_mi, round(e.avg_oil, 4) AS candidate_avg_oil, round(e.avg_gas, 4) AS candidate_avg_gas, round(e.cum_oil, 4) AS candidate_cum_oil, round(e.cum_gas, 4) AS candidate_cum_gas FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY distance_mi, abs(1 - length_ratio), candidate_id) AS rank FROM cand) AS x JOIN early e ON e.well_id = x.candidate_id WHERE rank <= 10",
+    "candidate_top": "SELECT target_id, candidate_id, rank, round(distance_mi, 4) AS distance_mi, round(e.avg_oil, 4) AS candidate_avg_oil, round(e.avg_gas, 4) AS candidate_avg_gas, round(e.cum_oil, 4) AS candidate_cum_oil, round(e.cum_gas, 4) AS candidate_cum_gas FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY distance_mi, abs(1 - length_ratio), candidate_id) AS rank FROM cand) AS x JOIN early e ON e.well_id = x.candidate_id WHERE rank <= 100",
     "spacing_at_start": f"SELECT basin_name, well_id, wells_within_1mi_at_start, wells_within_3mi_at_start, {r('distance_to_nearest_at_start', 'distance_to_second_nearest_at_start')} FROM space",
     "knn_lookup": "SELECT target_id, candidate_id, analog_rank, round(distance_mi, 4) AS distance_mi, target_basin AS basin_name, target_formation AS formation, round(candidate_lateral / target_lateral, 4) AS length_ratio FROM knn",
     "newwell_lookup": f"SELECT target_id, candidate_id, analog_rank, formation_match, vintage_years, {r('distance_mi', 'length_ratio', 'delta_length', 'ppf_ratio', 'fpf_ratio')} FROM request_pairs",
@@ -611,10 +663,10 @@ _QUERIES = {
     "training_pairs": f"SELECT target_id, candidate_id, {r('target_cum', 'candidate_cum')}, round(target_lateral, 4) AS target_lateral_length, round(candidate_ppf, 4) AS candidate_proppant_per_ft, target_peak_oil_month, candidate_peak_oil_month, {r(*[f'{s}_{c}' for s in ('target', 'candidate') for c in ('peak_oil', 'peak_gas', 'oil_decline_rate')])} FROM train",
     "training_targets": "SELECT DISTINCT target_id FROM train ORDER BY 1 LIMIT 20",
     "training_pairs_alt": "SELECT target_id, candidate_id, round(distance_mi, 4) AS distance_mi, ty AS target_vintage_year, tm AS target_vintage_month, round(target_fpf, 4) AS target_fluid_per_ft, round(target_cum_gas, 4) AS target_cum_gas, round(target_avg_oil, 4) AS target_avg_oil, cy AS candidate_vintage_year, cm AS candidate_vintage_month, round(candidate_fpf, 4) AS candidate_fluid_per_ft, round(candidate_cum_gas, 4) AS candidate_cum_gas, round(candidate_avg_oil, 4) AS candidate_avg_oil FROM alt",
-    "nearest_topk": f"SELECT target_id, candidate_id, analog_rank, {r('distance_mi')} FROM ({nearest('SELECT * FROM cand', 5)}) AS x",
-    "best_topk": f"SELECT target_id, candidate_id, analog_rank, {r('distance_mi')}, score FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, distance_mi, candidate_id) AS analog_rank FROM {_SCORED} AS s) AS x WHERE analog_rank <= 5",
-    "operator_diverse_topk": f"SELECT target_id, candidate_id, analog_rank, {r('distance_mi')}, score, candidate_operator_name FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, distance_mi, candidate_id) AS analog_rank FROM (SELECT *, row_number() OVER (PARTITION BY target_id, candidate_operator_name ORDER BY score DESC, distance_mi, candidate_id) AS per_op FROM {_SCORED} AS s) AS y WHERE per_op <= 2) AS x WHERE analog_rank <= 6",
-    "major_operator_flag": "SELECT target_id, candidate_id, candidate_operator_name, CASE WHEN candidate_operator_name IN (SELECT candidate_operator_name FROM cand WHERE candidate_operator_name IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3) THEN 1 ELSE 0 END AS is_major_operator FROM cand",
+    "nearest_topk": f"SELECT target_id, candidate_id, analog_rank, {r('distance_mi')} FROM ({nearest('SELECT * FROM cand', 20)}) AS x",
+    "best_topk": f"SELECT target_id, candidate_id, analog_rank, {r('distance_mi')}, score FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, distance_mi, candidate_id) AS analog_rank FROM {_SCORED} AS s) AS x WHERE analog_rank <= 20",
+    "operator_diverse_topk": f"SELECT target_id, candidate_id, analog_rank, {r('distance_mi')}, score, candidate_operator_name FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, distance_mi, candidate_id) AS analog_rank FROM (SELECT *, row_number() OVER (PARTITION BY target_id, candidate_operator_name ORDER BY score DESC, distance_mi, candidate_id) AS per_op FROM {_SCORED} AS s) AS y WHERE per_op <= 3) AS x WHERE analog_rank <= 20",
+    "major_operator_flag": "SELECT target_id, candidate_id, candidate_operator_name, CASE WHEN candidate_operator_name IN (SELECT candidate_operator_name FROM cand WHERE candidate_operator_name IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) THEN 1 ELSE 0 END AS is_major_operator FROM cand",
     "validate_suite": verdicts("model_wells", "prod"),
     "validate_broken": verdicts(
         "(SELECT * REPLACE (CASE WHEN k % 7 = 0 THEN first_prod_date + 31 ELSE first_prod_date END AS first_prod_date, CASE WHEN k % 11 = 0 THEN 10::DOUBLE ELSE lat END AS lat) FROM model_wells)",
@@ -640,7 +692,7 @@ FROM (SELECT *, substr(well_id, 3)::BIGINT AS k FROM early) AS x WHERE k % 2 = 0
     "peak_month_histogram": "SELECT 'oil' AS fluid, peak_oil_month AS month, count(*) AS wells FROM peak_table GROUP BY 2 UNION ALL SELECT 'gas', peak_gas_month, count(*) FROM peak_table GROUP BY 2",
     "wide_pair_features": f"SELECT target_id, candidate_id, vintage_match, vintage_gap_abs, month_diff, same_season, target_formation AS formation_group, {r('proppant_ratio', 'fluid_ratio', 'log_lateral_ratio', 'log_proppant_ratio', 'log_fluid_ratio', 'target_oil_per_ft', 'candidate_oil_per_ft', 'oil_per_ft_ratio')} FROM wide",
     "distance_bucket_onehot": f"SELECT target_id, candidate_id, {_BUCKET} AS distance_bucket, {', '.join(f'''CASE WHEN ({_BUCKET}) = '{x}' THEN 1 ELSE 0 END AS bucket_{i}''' for i, x in enumerate(_LABELS))} FROM cand",
-    "training_matrix": f"SELECT target_id, count(*) AS pairs, {', '.join(f'round(avg({c}), 4) AS mean_{i:02d}' for i, c in enumerate(_MATRIX))} FROM wide JOIN scored_alt USING (target_id, candidate_id) GROUP BY 1",
+    "training_matrix": f"SELECT target_id, count(*) AS pairs, {', '.join(f'round(avg({c}), 4) AS mean_{i:02d}' for i, c in enumerate(_MATRIX))} FROM wide JOIN scored_alt USING (target_id, candidate_id) JOIN pca_pair USING (target_id, candidate_id) GROUP BY 1",
     "group_sizes": "SELECT target_id, count(*) AS group_size FROM train GROUP BY 1",
     "ranking_features_17": _RANKING
     + f"""{r('candidate_peak_oil')}, round(CASE WHEN target_peak_oil > 0 THEN candidate_peak_oil / (target_peak_oil + 1) ELSE 1 END, 4) AS peak_oil_ratio,
@@ -664,10 +716,11 @@ FROM (SELECT *, substr(well_id, 3)::BIGINT AS k FROM early) AS x WHERE k % 2 = 0
   round({flog('length_ratio')}, 4) AS log_length_ratio, round(abs({flog('length_ratio')}), 4) AS abs_log_length_ratio,
   round(target_ppf / (candidate_ppf + 1), 4) AS ppf_ratio, round({flog('target_ppf / (candidate_ppf + 1)')}, 4) AS log_ppf_ratio,
   formation_match AS same_formation, same_operator, vintage_gap_years, abs(vintage_gap_years) AS abs_vintage_gap,
-  0 AS embedding_pc1, 0 AS embedding_pc2, 0 AS embedding_pc3, 0 AS embedding_pc4,
+  {', '.join(f'round(coalesce(pcs[{i}], 0), 4) AS embedding_pc{i}' for i in range(1, 5))},
   round(distance_mi * formation_match, 4) AS distance_x_formation, round(distance_mi * same_operator, 4) AS distance_x_operator,
   round(abs({flog('length_ratio')}) * {flog('target_ppf / (candidate_ppf + 1)')}, 4) AS length_x_ppf,
-  candidate_peak_oil_month - target_peak_oil_month AS peak_month_diff, (candidate_peak_oil_month <= 3)::INT AS early_peak FROM train""",
+  candidate_peak_oil_month - target_peak_oil_month AS peak_month_diff, (candidate_peak_oil_month <= 3)::INT AS early_peak
+  FROM train LEFT JOIN pca_oil ON well_id = candidate_id""",
     "embedding_cosine": """
 WITH v AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) AS d(i)),
  f AS (SELECT label, min(vec_id) AS first_id FROM embeddings GROUP BY 1),
@@ -680,6 +733,22 @@ FROM p GROUP BY 1, 2""",
         f"SELECT '{f}' AS fluid, well_id, m + 1 AS month, round(ln(1 + {f}), 4) AS curve FROM curve WHERE well_id IN (SELECT well_id FROM curve WHERE {f} > 0 GROUP BY 1 HAVING count(*) >= 7)"
         for f in ("oil", "gas")
     ),
+    "pca_embedding": "SELECT well_id, "
+    + ", ".join(
+        f"round(max(CASE WHEN fluid = '{f}' AND component = {c} THEN pc END), 4) AS {f}_pc{c}"
+        for f in ("oil", "gas")
+        for c in range(1, 5)
+    )
+    + """, (SELECT round(sum(share), 4) FROM pca_model WHERE fluid = 'oil') AS oil_explained_var,
+  CASE WHEN count(CASE WHEN fluid = 'gas' THEN 1 END) > 0 THEN (SELECT round(sum(share), 4) FROM pca_model WHERE fluid = 'gas') END AS gas_explained_var
+FROM pca_score GROUP BY 1 HAVING count(CASE WHEN fluid = 'oil' THEN 1 END) > 0""",
+    "embedding_summary": """
+SELECT fluid, component, count(*) AS wells, round(avg(pc), 4) AS mean, round(stddev_pop(pc), 4) AS std, round(min(pc), 4) AS min, round(max(pc), 4) AS max
+FROM pca_score WHERE well_id IN (SELECT well_id FROM pca_score WHERE fluid = 'oil') GROUP BY 1, 2""",
+    "pca_top_months": """
+SELECT m AS month, round(w, 4) AS weight FROM (SELECT i AS m, abs(v[i]) AS w FROM pca_model, range(1, 10) AS x(i) WHERE fluid = 'oil' AND component = 1) AS t
+ORDER BY w DESC, m LIMIT 3""",
+    "request_round_trip": f"""SELECT target_id AS well_id, {r('lat', 'lon')}, formation, lateral_length, ppf AS proppant_per_ft, fpf AS fluid_per_ft, operator, planned_date FROM requests""",
     "pair_score_labels": f"SELECT target_id, candidate_id, {r('production_error', 'analog_score')}, is_good_analog FROM scored_alt",
     "good_pair_share": "SELECT count(*) AS pairs, round(avg(is_good_analog), 4) AS good_share, round(avg(analog_score), 4) AS mean_score FROM scored_alt",
     "graded_labels": f"SELECT target_id, candidate_id, {r('revenue_error')}, label FROM graded",
@@ -704,7 +773,7 @@ SELECT target_id, candidate_id, round(coalesce(sum(l), 0), 4) AS lam, round(coal
     "bootstrap_interval": """
 WITH n AS (SELECT target_id, count(DISTINCT candidate_id) AS n FROM chosen GROUP BY 1 HAVING count(DISTINCT candidate_id) > 1),
  d AS (SELECT target_id, n, s, md5('42:' || target_id || ':' || s || ':0') || md5('42:' || target_id || ':' || s || ':1') || md5('42:' || target_id || ':' || s || ':2') AS h
-   FROM n CROSS JOIN range(1, 51) AS x(s)),
+   FROM n CROSS JOIN range(1, 101) AS x(s)),
  p AS (SELECT target_id, s, ('0x' || substr(h, j::INT * 4 + 1, 4))::BIGINT % n + 1 AS pick FROM d JOIN range(20) AS y(j) ON y.j < d.n),
  m AS (SELECT p.target_id, p.s, c.m, avg(c.oil) AS mean FROM p JOIN chosen c ON c.target_id = p.target_id AND c.analog_rank = p.pick GROUP BY 1, 2, 3)
 SELECT target_id, m + 1 AS month, round(quantile_cont(mean, 0.1), 4) AS p10_oil, round(quantile_cont(mean, 0.9), 4) AS p90_oil FROM m GROUP BY 1, 2""",
@@ -736,4 +805,7 @@ FROM (SELECT target_id, basin_name, m, b.p50_oil AS b, w.p50_oil AS r FROM test_
 LEFT JOIN winners USING (basin_name)""",
 }
 
+_QUERIES["training_round_trip"] = _QUERIES["ranking_features_17"]
+_QUERIES["forecast_json_round_trip"] = _QUERIES["batch_forecast"]
+
 ORACLE = {name: with_(sql) for name, sql in _QUERIES.items()}

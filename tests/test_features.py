@@ -164,8 +164,8 @@ def test_embeddings_match_an_eigen_decomposition(spark):
     assert [r.month for r in months.collect()] == (np.argsort(first)[::-1][:3] + 1).tolist()
 
 
-@pytest.mark.parametrize("small_group", [100_000, 50])
-def test_exact_percentiles_match_numpy(spark, small_group):
+@pytest.mark.parametrize("few, parts", [(200_000, 64), (50, 64), (3, 5)])
+def test_exact_percentiles_match_numpy(spark, few, parts):
     rng = np.random.default_rng(4)
     groups = {
         "wide": rng.lognormal(3, 2, 150_000),
@@ -178,14 +178,31 @@ def test_exact_percentiles_match_numpy(spark, small_group):
     frame = spark.createDataFrame(
         pd.concat(pd.DataFrame({"g": k, "v": v}) for k, v in groups.items())
     )
-    if small_group < 1000:
-        frame = frame.filter("g in ('wide', 'ties')")
     ranks = {"a": 0.1, "b": 0.5, "c": 0.9, "d": 1.0}
-    for row in percentiles.exact(frame, ["g"], "v", ranks, small_group).collect():
+    for row in percentiles.exact(frame, ["g"], "v", ranks, few, parts).collect():
         want = np.percentile(groups[row.g], [10, 50, 90, 100])
         assert [row.a, row.b, row.c, row.d] == pytest.approx(want, rel=1e-12)
 
 
+def test_a_sketch_that_misses_the_rank_does_no_harm(spark, monkeypatch):
+    data = [float(i) for i in range(200)]
+    frame = spark.createDataFrame([(None, v) for v in data], "g string, v double")
+    # Cuts that all lie above the wanted ranks, as no sound sketch would give them.
+    monkeypatch.setattr(
+        percentiles.F, "percentile_approx", lambda c, *_: F.array(F.max(c), F.max(c) - 0.5)
+    )
+    row = percentiles.exact(frame, ["g"], "v", {"a": 0.25, "b": 0.9}, few=199).first()
+    assert (row.g, row.a, row.b) == (None, *[pytest.approx(np.quantile(data, q)) for q in (0.25, 0.9)])
+
+
+def test_positions_spread_ids_that_share_a_prefix(spark):
+    ids = [f"05000000{i:05d}" for i in range(3000)]
+    made = labels._positions(spark.createDataFrame([(i,) for i in ids], "target_id string")).cache()
+    assert [r.target_id for r in made.orderBy("_position").collect()] == ids
+    assert [r._position for r in made.orderBy("target_id").collect()] == list(range(1, 3001))
+    assert {r._total for r in made.collect()} == {3000}
+
+
 def test_cosine_of_missing_is_zero_and_in_range(spark):
     frame = spark.createDataFrame(
         [([1.0, 2.0], [1.0, 2.0]), ([1.0, 0.0], [-1.0, 0.0]), (None, [1.0, 1.0])],

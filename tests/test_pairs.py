@@ -101,15 +101,66 @@ def test_hot_cells_are_split_without_losing_or_repeating_pairs(spark):
     assert rows(split, "target_id", "candidate_id") == plain == brute(data, 2.0)
 
 
-def test_nearest_is_the_same_with_and_without_the_near_pass(spark):
+RULES = ["target_id <> candidate_id", "candidate_id LIKE '%7' AND target_id <> candidate_id"]
+
+
+@pytest.mark.parametrize("rule", RULES)
+@pytest.mark.parametrize("k", [1, 6, 60])
+def test_rings_find_what_the_whole_radius_holds(spark, rule, k):
     data, df = points(spark, 250, 6)
     clump, dense = points(spark, 80, 7, ((40.1, 40.12), (-104.4, -104.38)), "z")
     both = sides(df.unionByName(dense))
-    rule = "target_id <> candidate_id"
     columns = ("target_id", "analog_rank", "candidate_id")
-    one = rows(radius.nearest_within(*both, 15.0, 6, where=rule), *columns)
-    two = rows(radius.nearest_within(*both, 15.0, 6, where=rule, near=3.0), *columns)
-    assert one == two and len(one) > 1500
+    whole = radius.top_by_distance(radius.within_radius(*both, 15.0, where=rule), k)
+    assert rows(radius.nearest_within(*both, 15.0, k, where=rule), *columns) == rows(whole, *columns)
+
+
+def test_ring_pairs_follow_k_and_not_the_density(spark):
+    k, formed = 5, []
+    for n in (400, 1600):
+        data, df = points(spark, n, 11, ((40.0, 40.2), (-104.7, -104.5)))
+        t, c = sides(df)
+        started = radius.ring_starts(t, c, 15.0, k).cache()
+        assert started.count() == n and started.filter("_ring = 0").count() == 0
+        pairs = 0
+        for r in started.select("_ring").distinct().collect():
+            own = started.filter(F.col("_ring") == r._ring).drop("_ring")
+            pairs += radius.within_radius(own, c, 15.0 / (1 << r._ring)).count()
+        formed.append(pairs / n)
+        whole = radius.top_by_distance(radius.within_radius(t, c, 15.0), k)
+        got = radius.nearest_within(t, c, 15.0, k)
+        assert rows(got, "target_id", "candidate_id") == rows(whole, "target_id", "candidate_id")
+    assert max(formed) < 20 * k and formed[1] < 1.5 * formed[0]
+
+
+def test_lookups_of_every_kind_search_rings(spark, monkeypatch):
+    rng = random.Random(12)
+    wells = [
+        well(
+            f"05{i:03d}", operator=rng.choice("AB"), formation=rng.choice(["X", "Y", None]),
+            lat=40 + rng.random() * 0.1, lon=-104.5 + rng.random() * 0.1,
+            first=f"20{rng.randint(18, 22)}-0{rng.randint(1, 9)}-01",
+            lateral=rng.choice([8000.0, 10000.0, 11000.0, None]),
+        )
+        for i in range(120)
+    ]
+    frame = early(spark, *wells)
+    requests = frame.selectExpr(
+        "well_id", "lat", "lon", "formation", "lateral_length", "proppant_per_ft", "fluid_per_ft",
+        "operator_name AS operator", "IF(well_id > '05060', date'2020-06-01', NULL) AS planned_date",
+    )
+    def found():
+        return [
+            rows(made, "target_id", "analog_rank", "candidate_id")
+            for made in (
+                lookup.analogs(frame, frame, BASINS, 4),
+                lookup.new_well(requests, frame, k=9),
+                lookup.evaluation(frame, frame, k=6),
+            )
+        ]
+    rings = found()
+    monkeypatch.setattr(radius, "ring_starts", lambda t, *_: t.withColumn("_ring", F.lit(0)))
+    assert rings == found() and all(len(r) > 100 for r in rings)
 
 
 def pair_rows(spark, *wells, columns=("target_id", "candidate_id")):
@@ -208,6 +259,35 @@ def test_spacing_counts_only_wells_that_existed(spark):
     assert got["05d"].distance_to_nearest_at_start == pytest.approx(6.0, abs=0.05)
 
 
+def test_spacing_equals_all_pairs_where_cells_are_split(spark, monkeypatch):
+    data, df = points(spark, 150, 21, ((40.0, 40.4), (-104.9, -104.5)))
+    rng = random.Random(22)
+    days = {d[0]: f"20{rng.randint(18, 22)}-0{rng.randint(1, 9)}-01" for d in data}
+    frame = early(spark, *[well(d[0], lat=d[2], lon=d[3], first=days[d[0]]) for d in data])
+    got = {r.well_id: r for r in spacing.at_start(frame, BASINS).collect()}
+    split = radius.within_radius
+    monkeypatch.setattr(spacing, "within_radius", lambda *a, **k: split(*a, pairs_per_task=50, **k))
+    assert {r.well_id: r for r in spacing.at_start(frame, BASINS).collect()} == got
+    for d in data:
+        near = sorted(
+            geodesic_miles(d[2], d[3], o[2], o[3]) for o in data if o[0] != d[0] and days[o[0]] <= days[d[0]]
+        )
+        r = got[d[0]]
+        assert r.wells_within_1mi_at_start == sum(x <= 1 for x in near)
+        assert r.wells_within_3mi_at_start == sum(x <= 3 for x in near)
+        want = [x for x in near if x <= 15][:2] + [999.0, 999.0]
+        assert r.distance_to_nearest_at_start == pytest.approx(want[0], abs=0.001)
+        assert r.distance_to_second_nearest_at_start == pytest.approx(want[1], abs=0.001)
+
+
+def test_spacing_exchanges_no_pairs(spark):
+    data, df = points(spark, 60, 23)
+    pairs = radius.within_radius(*sides(df), 3.0, cells=True)
+    plan = spacing.around(pairs, 1.0, ("basin_name",))._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert above.count("Exchange") == 1 and "partial_collect_list" in above[above.index("Exchange") :]
+
+
 def scored(spark, seed=8, targets=12, per_target=40):
     rng = random.Random(seed)
     data = [

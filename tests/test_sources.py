@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wellkin.operators import candidates, forecast, labels
 from wellkin.params import BASINS
 from wellkin.plans.stored import shared_folder, store
-from wellkin.sources import files, merge, schemas
+from wellkin.sources import files, merge, schemas, versions
 
 
 def table(spark, data):
@@ -100,3 +100,50 @@ def test_stored_tables_live_in_the_configured_folder(spark):
     kept = store(spark.range(5).withColumn("p", F.col("id") % 2), "demo", "p")
     assert kept.count() == 5
     assert all(folder.split(":")[-1] in f for f in kept.inputFiles())
+
+
+def test_a_published_basin_is_replaced_and_others_stay(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(ValueError, match="no version"):
+        versions.read(spark, path)
+    versions.publish(table(spark, [("x", 1, 1, "p"), ("y", 2, 2, "q"), ("n", 0, 0, None)]), path)
+    versions.publish(table(spark, [("z", 3, 3, "q"), ("w", 4, 4, "r s/=")]), path)
+    got = versions.read(spark, path)
+    assert got.columns == ["k", "a", "b", "basin_name"]
+    assert rows(got, "k", "basin_name") == [("n", None), ("w", "r s/="), ("x", "p"), ("z", "q")]
+    versions.publish(table(spark, [("m", 5, 5, None)]), path)
+    assert rows(versions.read(spark, path), "k") == ["m", "w", "x", "z"]
+    versions.publish(table(spark, []), path)
+    assert rows(versions.read(spark, path), "k") == ["m", "w", "x", "z"]
+
+
+def test_a_failure_before_the_commit_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    versions.publish(table(spark, [("x", 1, 1, "p"), ("y", 2, 2, "q")]), path)
+    before = versions.read(spark, path)
+    want = rows(before)
+
+    def fails(*_):
+        raise OSError("lost between write and switch")
+
+    monkeypatch.setattr(versions, "_commit", fails)
+    with pytest.raises(OSError, match="lost"):
+        versions.publish(table(spark, [("z", 9, 9, "q")]), path)
+    assert rows(versions.read(spark, path)) == want
+    broken = table(spark, [("z", 9, 9, "q")]).withColumn("a", F.raise_error(F.lit("stop")).cast("int"))
+    monkeypatch.undo()
+    with pytest.raises(Exception, match="stop"):
+        versions.publish(broken, path)
+    assert rows(versions.read(spark, path)) == want
+    # A reader that started before a switch keeps reading the version it saw.
+    versions.publish(table(spark, [("z", 9, 9, "q")]), path)
+    assert rows(before) == want and ("z", 9, 9, "q") in rows(versions.read(spark, path))
+
+
+def test_a_published_upsert_moves_rows_between_basins(spark, tmp_path):
+    path = str(tmp_path / "t")
+    versions.publish(table(spark, [("x", 1, 1, "p"), ("y", 2, 2, "q"), ("u", 7, 7, "s")]), path)
+    new = table(spark, [("y", None, 20, "p"), ("z", 3, 30, "r")])
+    versions.publish_upsert(new, path, ["k"], ["a", "basin_name"])
+    want = [("u", 7, 7, "s"), ("x", 1, 1, "p"), ("y", None, 2, "p"), ("z", 3, 30, "r")]
+    assert rows(versions.read(spark, path)) == want

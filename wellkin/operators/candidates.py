@@ -136,10 +136,17 @@ def _percent(flag: str) -> Column:
 
 
 def stats(pairs: DataFrame) -> DataFrame:
-    """Pool statistics per basin, the median by `percentiles.exact`."""
+    """Pool statistics per basin, the median by `percentiles.exact`.
+
+    Wells of either side are counted after a grouping of their own: two distinct counts beside
+    the averages would write every pair three times.
+    """
+
+    def different(side: str) -> DataFrame:
+        wells = pairs.filter(F.col(f"{side}_id").isNotNull()).select("basin_name", f"{side}_id").distinct()
+        return wells.groupBy("basin_name").agg(F.count("*").alias(f"unique_{side}s"))
+
     plain = pairs.groupBy("basin_name").agg(
-        F.count_distinct("target_id").alias("unique_targets"),
-        F.count_distinct("candidate_id").alias("unique_candidates"),
         F.count("*").alias("total_pairs"),
         F.avg("distance_mi").alias("avg_distance_mi"),
         _percent("formation_match").alias("pct_formation_match"),
@@ -153,7 +160,8 @@ def stats(pairs: DataFrame) -> DataFrame:
         F.avg("distance_to_second_nearest_at_start").alias("avg_second_nearest_mi"),
     )
     median = percentiles.exact(pairs, ["basin_name"], "distance_mi", {"median_distance_mi": 0.5})
-    return plain.join(median, "basin_name")
+    counted = plain.join(different("target"), "basin_name").join(different("candidate"), "basin_name")
+    return counted.join(median, "basin_name")
 
 
 def per_target(pairs: DataFrame) -> DataFrame:
@@ -184,7 +192,7 @@ def _with_side(pairs: DataFrame, early: DataFrame, side: str, columns: list[str]
     return pairs.join(wells, f"{side}_id")
 
 
-def _with_optional(pairs: DataFrame, table: DataFrame, side: str, columns: list[str]) -> DataFrame:
+def with_optional(pairs: DataFrame, table: DataFrame, side: str, columns: list[str]) -> DataFrame:
     """The same, keeping pairs whose well is not in the side table."""
     wells = table.select(
         F.col("well_id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in columns]
@@ -213,8 +221,8 @@ def training_pairs(
     columns = ["oil", "lateral_length", "proppant_per_ft"]
     chosen = _with_side(chosen, early, "target", columns)
     chosen = _with_side(chosen, early, "candidate", columns)
-    chosen = _with_optional(chosen, peaks, "candidate", _PEAK_COLUMNS)
-    return _with_optional(chosen, peaks, "target", _PEAK_COLUMNS)
+    chosen = with_optional(chosen, peaks, "candidate", _PEAK_COLUMNS)
+    return with_optional(chosen, peaks, "target", _PEAK_COLUMNS)
 
 
 def training_pairs_alt(
@@ -244,5 +252,5 @@ def training_pairs_alt(
             {f"{side}_vintage_year": F.year(start), f"{side}_vintage_month": F.month(start)}
         )
         if embeddings is not None:
-            chosen = _with_optional(chosen, embeddings, side, ["oil_embedding"])
+            chosen = with_optional(chosen, embeddings, side, ["oil_embedding"])
     return chosen

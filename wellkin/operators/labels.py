@@ -92,26 +92,30 @@ def split(pairs: DataFrame, share: float = 0.8) -> DataFrame:
     return pairs.join(marked, "target_id")
 
 
-def _positions(targets: DataFrame, prefix_length: int = 8) -> DataFrame:
-    """1-based position of each distinct id in id order, and their number, in two levels.
+def _positions(targets: DataFrame) -> DataFrame:
+    """1-based position of each distinct id in id order, and their number.
 
-    Ids are numbered within their leading characters, in parallel, and shifted by the number
-    of ids with smaller ones.  Only the block sizes, one short row per id prefix, pass
-    through the unpartitioned window.
+    Ids are dealt to tasks by ranges, wherever their order differs, and numbered there; a range
+    starts after the ids of the ranges before it.  The ranges are kept by a checkpoint, so that
+    their counts and the numbers speak of the same ones.  Only the counts, one row per range,
+    pass through the unpartitioned window.
     """
-    inside = Window.partitionBy("_block").orderBy("target_id")
-    in_order = Window.orderBy("_block")
-    blocked = targets.withColumn("_block", F.substring("target_id", 1, prefix_length))
-    sizes = blocked.groupBy("_block").agg(F.count("*").alias("_size"))
+    ranged = targets.repartitionByRange("target_id").sortWithinPartitions("target_id")
+    place = F.monotonically_increasing_id()  # the range in the upper bits, the row in the lower 33
+    numbered = ranged.select("target_id", place.alias("_place")).checkpoint().select(
+        "target_id",
+        F.shiftright("_place", 33).alias("_range"),
+        F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)).alias("_in"),
+    )
+    in_order = Window.orderBy("_range")
+    sizes = numbered.groupBy("_range").agg(F.count("*").alias("_size"))
     offsets = sizes.select(
-        "_block",
+        "_range",
         (F.sum("_size").over(in_order) - F.col("_size")).alias("_offset"),
         F.sum("_size")
         .over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         .alias("_total"),
     )
-    return (
-        blocked.withColumn("_in", F.row_number().over(inside))
-        .join(offsets, "_block")
-        .select("target_id", (F.col("_in") + F.col("_offset")).alias("_position"), "_total")
+    return numbered.join(offsets, "_range").select(
+        "target_id", (F.col("_in") + F.col("_offset") + 1).alias("_position"), "_total"
     )

@@ -16,11 +16,17 @@ cell qualifies only with more than sqrt(pairs_per_task) rows on one side, so it
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wellkin.functions import geo
 
 PAIRS_PER_TASK = 200_000_000
+#: Halvings of the radius that a ring search may start from.
+HALVINGS = 8
+#: Columns by which a radius join is partitioned, beside its ``on`` columns.
+CELL = ("_band", "_col", "_tpart", "_cpart")
 
 _T = ("_tx", "_ty", "_tz")
 _C = ("_cx", "_cy", "_cz")
@@ -40,6 +46,7 @@ def within_radius(
     where: str = "true",
     skip: DataFrame | None = None,
     pairs_per_task: int = PAIRS_PER_TASK,
+    cells: bool = False,
 ) -> DataFrame:
     """All (target, candidate) pairs within ``radius`` miles, with ``distance_mi``.
 
@@ -47,7 +54,8 @@ def within_radius(
     columns, ``candidates`` the same with ``candidate_``; both have the ``on`` columns,
     which must be equal.  ``radius`` is a number or a SQL expression over the ``on``
     columns.  ``where`` is tested inside the join, before any exact distance.  Targets whose
-    id is in ``skip`` take no part.
+    id is in ``skip`` take no part.  ``cells`` keeps the `CELL` columns: the pairs lie
+    partitioned by them, so a grouping by them and the target needs no exchange.
 
     The targets are partitioned by the join keys up front.  A sorted or hashed join needs
     that exchange anyway; when Spark broadcasts the candidates instead, it keeps a few small
@@ -63,6 +71,8 @@ def within_radius(
     keys = f"{cell}, _tpart, _cpart"
     same = " AND ".join(f"l.{k} = r.{k}" for k in keys.split(", "))
     shared = [f"l.{c}" for c in on]
+    if cells:
+        shared += [f"l.{c}" for c in CELL]
     t_columns = shared + [f"l.{c}" for c in targets.columns if c not in on]
     c_columns = [f"r.{c}" for c in candidates.columns if c not in on]
     width = geo.band_width("_band", "_radius")
@@ -124,6 +134,48 @@ def top_by_distance(pairs: DataFrame, k: int, rank: str = "analog_rank") -> Data
     return pairs.withColumn(rank, F.row_number().over(nearest)).filter(F.col(rank) <= k)
 
 
+def ring_starts(
+    targets: DataFrame,
+    candidates: DataFrame,
+    radius: str | float,
+    k: int,
+    on: tuple[str, ...] = ("basin_name",),
+    halvings: int = HALVINGS,
+) -> DataFrame:
+    """``targets`` with ``_ring``: how often the radius is halved where their search starts.
+
+    It is the smallest grid cell around the target that holds k candidates: a grid of the
+    halved radius, so what lies within that radius covers about three such cells, and the
+    next smaller cell held fewer than k.  Only cells that hold k candidates are listed.
+    """
+    radius = f"{float(radius)}D" if isinstance(radius, (int, float)) else f"({radius})"
+    grouped = "".join(f"{c}, " for c in on)
+    same = "".join(f"t.{c} <=> f.{c} AND " for c in on)
+
+    def cell(side: str) -> str:
+        width = geo.band_width("_band", "_reach")
+        return f"""
+  SELECT *, floor({side}_lon / {width}) AS _col FROM (
+    SELECT *, {geo.lat_band(f"{side}_lat", "_reach")} AS _band FROM (
+      SELECT *, {radius} / shiftleft(1L, _ring) AS _reach FROM (
+        SELECT *, explode(sequence(1, {halvings})) AS _ring FROM {{{side}s}})))"""
+
+    return targets.sparkSession.sql(
+        f"""
+WITH full AS (
+  SELECT {grouped}_ring, _band, _col FROM ({cell("candidate")})
+  GROUP BY {grouped}_ring, _band, _col HAVING count(*) >= {k}
+), start AS (
+  SELECT target_id, max(t._ring) AS _ring FROM ({cell("target")}) AS t JOIN full AS f
+    ON {same}t._ring = f._ring AND t._band = f._band AND t._col = f._col
+  GROUP BY target_id)
+SELECT t.*, coalesce(s._ring, 0) AS _ring FROM {{targets}} AS t LEFT JOIN start AS s USING (target_id)
+""",
+        targets=targets,
+        candidates=candidates,
+    ).select(*targets.columns, "_ring")
+
+
 def nearest_within(
     targets: DataFrame,
     candidates: DataFrame,
@@ -131,26 +183,36 @@ def nearest_within(
     k: int,
     on: tuple[str, ...] = ("basin_name",),
     where: str = "true",
-    near: str | float | None = None,
+    halvings: int = HALVINGS,
 ) -> DataFrame:
     """The k nearest candidates within the radius, with ``analog_rank``.
 
-    ``near`` adds a first pass over a smaller radius.  A target that finds k candidates
-    there is complete (nothing farther can enter its top k); only the others search the
-    full radius.  The result is the same; in dense areas most of the full-radius pairs are
-    never formed.  With a date rule alone the targets left over follow the area covered, not
-    the number of wells: of the wells inside a disc half as wide as ``near``, in date order,
-    only the first k can lack k earlier neighbours.
+    A target searches growing rings: it starts at the radius halved as often as the density
+    around it allows (`ring_starts`), and doubles it until it has found k candidates.  Nothing
+    outside can then be nearer than its k-th, so the result is that of the whole radius, while
+    the pairs formed follow k and not the density.  Targets whose rule leaves them few
+    candidates go on to the whole radius.
+
+    Each ring is a radius join of the targets that need it, and its result is cut from the
+    lineage by a checkpoint in the shared folder, so it is made once.  Where no cell of half
+    the radius holds k candidates, as in small or sparse tables, one join of all is made.
     """
-    if near is None:
+    started = ring_starts(targets, candidates, radius, k, on, halvings)
+    rings = sorted((r._ring for r in started.select("_ring").distinct().collect()), reverse=True)
+    if rings in ([], [0]):
         return top_by_distance(within_radius(targets, candidates, radius, on, where), k)
-    found = Window.partitionBy("target_id")
-    first = top_by_distance(within_radius(targets, candidates, near, on, where), k)
-    complete = (
-        first.withColumn("_found", F.count("*").over(found))
-        .filter(F.col("_found") == k)
-        .drop("_found")
-    )
-    done = first.filter(F.col("analog_rank") == k).select("target_id")
-    second = top_by_distance(within_radius(targets, candidates, radius, on, where, done), k)
-    return complete.unionByName(second)
+    whole = f"{float(radius)}D" if isinstance(radius, (int, float)) else f"({radius})"
+    started = started.checkpoint()
+    found, done = [], None
+    for ring in range(rings[0], -1, -1):
+        seeking = started.filter(F.col("_ring") >= ring).drop("_ring")
+        reach = f"{whole} / {1 << ring}"
+        near = top_by_distance(within_radius(seeking, candidates, reach, on, where, done), k)
+        if not ring:
+            found.append(near)
+            break
+        near = near.checkpoint()
+        complete = near.filter(F.col("analog_rank") == k).select("target_id")
+        found.append(near.join(complete, "target_id", "left_semi"))
+        done = complete if done is None else done.unionByName(complete)
+    return reduce(DataFrame.unionByName, found)

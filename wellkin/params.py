@@ -30,7 +30,6 @@ class Basin:
     lateral_tolerance: float
     min_vintage_year: int
     peak_month_window: int
-    months_to_analyze: int
     formations: tuple[str, ...]
     kappa_length: float
     kappa_proppant: float
@@ -40,8 +39,6 @@ class Basin:
     proppant_max: float
     fluid_min: float
     fluid_max: float
-    min_candidates: int
-    max_candidates: int
     top_k: int
     distance_power: float
 
@@ -61,7 +58,6 @@ DJ_BASIN = Basin(
     lateral_tolerance=0.2,
     min_vintage_year=2018,
     peak_month_window=7,
-    months_to_analyze=9,
     formations=(
         "Niobrara", "Niobrara A", "Niobrara B", "Niobrara C", "Codell", "Greenhorn",
         "Shannon", "Sussex", "Turner", "Parkman", "Terry", "Hygiene",
@@ -74,8 +70,6 @@ DJ_BASIN = Basin(
     proppant_max=3500.0,
     fluid_min=20.0,
     fluid_max=100.0,
-    min_candidates=10,
-    max_candidates=500,
     top_k=20,
     distance_power=2.0,
 )
@@ -95,7 +89,6 @@ BAKKEN = Basin(
     lateral_tolerance=0.2,
     min_vintage_year=2016,
     peak_month_window=6,
-    months_to_analyze=9,
     formations=(
         "Bakken", "Middle Bakken", "Three Forks",
         "Three Forks 1st", "Three Forks 2nd", "Three Forks 3rd",
@@ -108,8 +101,6 @@ BAKKEN = Basin(
     proppant_max=2500.0,
     fluid_min=25.0,
     fluid_max=70.0,
-    min_candidates=10,
-    max_candidates=400,
     top_k=20,
     distance_power=2.0,
 )

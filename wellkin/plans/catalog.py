@@ -34,8 +34,8 @@ from wellkin.operators import (
 from wellkin.params import state_match
 from wellkin.plans import steps
 from wellkin.plans.steps import rounded
-from wellkin.plans.stored import shared_folder
-from wellkin.sources import bindings, files, merge
+from wellkin.plans.stored import fresh_path
+from wellkin.sources import bindings, files, merge, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,7 +44,7 @@ BASINS = bindings.BOUND_BASINS
 
 
 # Sums in the millions: four digits would compare rounding noise.
-_COARSE = {"softmax_forecast", "batch_forecast", "forecast_long_export", "forecast_summary"}
+_COARSE = {"forecast_json_round_trip", "softmax_forecast", "batch_forecast", "forecast_long_export", "forecast_summary"}
 
 
 def query(build: Query) -> Query:
@@ -270,7 +270,7 @@ def candidates_per_target(spark, sf):
 
 @query
 def candidate_top(spark, sf):
-    best = candidates.top(steps.candidates(spark, sf), steps.early_rates(spark, sf), 10)
+    best = candidates.top(steps.candidates(spark, sf), steps.early_rates(spark, sf))
     volumes = [f"candidate_{c}" for c in ("avg_oil", "avg_gas", "cum_oil", "cum_gas")]
     return best.select("target_id", "candidate_id", "rank", "distance_mi", *volumes)
 
@@ -368,24 +368,22 @@ def _scored(spark, sf):
 
 @query
 def nearest_topk(spark, sf):
-    return select.nearest(steps.candidates(spark, sf), 5).select(*_FOUND)
+    return select.nearest(steps.candidates(spark, sf), 20).select(*_FOUND)
 
 
 @query
 def best_topk(spark, sf):
-    return select.best(_scored(spark, sf), 5).select(*_FOUND, "score")
+    return select.best(_scored(spark, sf)).select(*_FOUND, "score")
 
 
 @query
 def operator_diverse_topk(spark, sf):
-    return select.diverse(_scored(spark, sf), 6, 2).select(*_FOUND, "score", "candidate_operator_name")
+    return select.diverse(_scored(spark, sf)).select(*_FOUND, "score", "candidate_operator_name")
 
 
 @query
 def major_operator_flag(spark, sf):
-    flagged = select.flag_top_categories(
-        steps.candidates(spark, sf), "candidate_operator_name", 3
-    )
+    flagged = select.flag_top_categories(steps.candidates(spark, sf), "candidate_operator_name")
     return flagged.select(
         "target_id", "candidate_id", "candidate_operator_name", "is_major_operator"
     )
@@ -493,19 +491,62 @@ def upsert_partial(spark, sf):
     arriving = early.filter(k % 3 != 0).withColumns(
         {"operator_name": F.lit("changed"), "cum_oil": F.col("cum_oil") + 1.0}
     )
-    return merge.upsert(stored, arriving, ["well_id"], ["basin_name", "cum_oil"])
+    path = fresh_path(spark, "upsert")
+    versions.publish(stored, path)
+    versions.publish_upsert(arriving, path, ["well_id"], ["basin_name", "cum_oil"])
+    return versions.read(spark, path)
 
 
 @query
 def partition_replace(spark, sf):
-    """Rewrite one basin of a stored table; the other basin keeps its rows."""
-    path = f"{shared_folder(spark)}/wellkin/{spark.sparkContext.applicationId}/replace"
+    """Publish one basin of a stored table anew; the other basin keeps its rows."""
+    path = fresh_path(spark, "replace")
     table = steps.early_rates(spark, sf).select("well_id", "cum_oil", "basin_name")
-    files.write_table(table, path, "basin_name")
-    merge.replace_partition(
+    versions.publish(table, path)
+    versions.publish(
         table.filter("basin_name = 'bakken'").withColumn("cum_oil", F.col("cum_oil") * 2), path
     )
-    return spark.read.schema(table.schema).parquet(path)
+    return versions.read(spark, path)
+
+
+# Round trips ------------------------------------------------------------------------------
+
+
+@query
+def training_round_trip(spark, sf):
+    """The training matrix written, and read back with every Parquet file below its folder."""
+    pairs = features.ranking17(steps.training(spark, sf), keep=("basin_name",))
+    path = fresh_path(spark, "training")
+    columns = [c for c in pairs.columns if c not in ("target_id", "candidate_id", "basin_name")]
+    files.write_training(pairs, path, columns, "basin_name")
+    return files.read_parquet(spark, f"{path}/matrix").drop("basin_name")
+
+
+@query
+def forecast_json_round_trip(spark, sf):
+    """The batch forecast exported as JSON objects and read back from them."""
+    path = fresh_path(spark, "forecasts")
+    made = _batch(spark, sf)
+    files.write_forecast_json(made, path)
+    read = spark.read.schema(files.forecast_struct(made).schema).json(path)
+    return read.select(
+        "well_id",
+        "input.formation",
+        "input.proppant_per_ft",
+        "input.fluid_per_ft",
+        "error",
+        "n_analogs",
+        *[f"forecast.{p}_cum_9mo" for p in ("p10", "p50", "p90")],
+        "metadata.avg_distance_mi",
+    )
+
+
+@query
+def request_round_trip(spark, sf):
+    """Forecast requests written as JSON lines, absent fields left out, and read back."""
+    path = fresh_path(spark, "requests")
+    bindings.forecast_requests(spark, sf).write.json(path)
+    return files.read_requests(spark, path)
 
 
 # Features ---------------------------------------------------------------------------------
@@ -567,7 +608,8 @@ def distance_bucket_onehot(spark, sf):
 
 
 def _training_matrix(spark, sf):
-    made = features.bucket_onehot(features.wide(steps.training_alt(spark, sf)))
+    pairs = steps.training_alt(spark, sf, steps.embedded(spark, sf))
+    made = features.embedding_features(features.bucket_onehot(features.wide(pairs)))
     flagged = select.flag_top_categories(made, "candidate_operator_name")
     flagged = flagged.withColumns(
         {f: F.col(f).cast("int") for f in ("formation_match", "same_operator")}
@@ -613,7 +655,11 @@ def inference_features(spark, sf):
 
 @query
 def legacy_features_20(spark, sf):
-    return features.legacy20(steps.training(spark, sf))
+    """The older features of the training pairs, with the candidate's embedding."""
+    known = steps.embedded(spark, sf)
+    return features.legacy20(
+        candidates.with_optional(steps.training(spark, sf), known, "candidate", ["oil_embedding"])
+    )
 
 
 @query
@@ -631,7 +677,7 @@ def embedding_cosine(spark, sf):
 
 @query
 def pca_embedding(spark, sf):
-    made = embeddings.fit_transform(steps.early_rates(spark, sf))
+    made = steps.embedded(spark, sf)
     return made.select(
         "well_id",
         *[F.get(f"{f}_embedding", F.lit(i)).alias(f"{f}_pc{i + 1}") for f in ("oil", "gas") for i in range(4)],
@@ -653,7 +699,7 @@ def curve_validity(spark, sf):
 
 @query
 def embedding_summary(spark, sf):
-    return embeddings.summary(embeddings.fit_transform(steps.early_rates(spark, sf)))
+    return embeddings.summary(steps.embedded(spark, sf))
 
 
 @query
@@ -695,6 +741,9 @@ def train_valid_split(spark, sf):
 
 
 # Ranker -----------------------------------------------------------------------------------
+#
+# The trained models see the dense fields: the bound wells, closer together, so that targets
+# have enough analogs for trees to split at the real settings.
 
 
 def _validation_scores(spark, sf):
@@ -724,9 +773,10 @@ def lambdarank_metrics(spark, sf):
 
 def _model_chosen(spark, sf):
     """Test wells' analogs scored by the trained models, cut to twenty and warped."""
-    scored = steps.rank_scorer(spark, sf)(_evaluation_pairs(spark, sf).drop("analog_rank"))
-    best = select.best(scored, 20)
-    return forecast.warped(lookup.with_curves(best, steps.early_rates(spark, sf)))
+    early = steps.early_rates(spark, sf, dense=True)
+    found = lookup.evaluation(steps.test_wells(spark, sf, dense=True), early)
+    scored = steps.rank_scorer(spark, sf)(found.drop("analog_rank"))
+    return forecast.warped(lookup.with_curves(select.best(scored, 20), early))
 
 
 @query
@@ -824,7 +874,7 @@ def warped_mean_forecast(spark, sf):
 
 @query
 def bootstrap_interval(spark, sf):
-    return spread(forecast.bootstrap(_chosen(spark, sf), samples=50), "p10_oil", "p90_oil")
+    return spread(forecast.bootstrap(_chosen(spark, sf)), "p10_oil", "p90_oil")
 
 
 def _request_analogs(spark, sf):
@@ -917,11 +967,12 @@ def outcome_counts(spark, sf):
     return evaluate.outcome_counts(early, steps.baseline_forecast(early), "basin_name")
 
 
-def _back_test(spark, sf, chosen=_chosen, name="back_test"):
+def _back_test(spark, sf, chosen=_chosen, name="back_test", dense=False):
     """Stored forecasts and errors of the baseline and of the `chosen` analogs on the test wells."""
 
     def build():
-        tests, early = steps.test_wells(spark, sf), steps.early_rates(spark, sf)
+        tests = steps.test_wells(spark, sf, dense)
+        early = steps.early_rates(spark, sf, dense)
         found = lookup.with_curves(lookup.analogs(tests, early, BASINS), early)
         models = {
             "baseline": baseline.median(found),
@@ -959,7 +1010,7 @@ def hybrid_choice(spark, sf):
 
 
 def _trained_back_test(spark, sf):
-    return _back_test(spark, sf, _model_chosen, "back_test_trained")
+    return _back_test(spark, sf, _model_chosen, "back_test_trained", dense=True)
 
 
 @query

@@ -14,6 +14,7 @@ from wellkin.operators import (
     baseline,
     candidates as pairs_of,
     curves,
+    embeddings,
     evaluate,
     labels,
     lookup,
@@ -89,60 +90,73 @@ def curves_from(
     )
 
 
-def early_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Steps.of(spark, sf_dir).table(
+def early_rates(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    """Early curves; the ``dense`` ones are those of the same wells drawn closer together."""
+    made = Steps.of(spark, sf_dir).table(
         "early_rates",
         lambda: curves_from(model_prod(spark, sf_dir), ingest_wells(spark, sf_dir)),
     )
+    return bindings.drawn_together(made) if dense else made
 
 
-def spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spacing(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
     return Steps.of(spark, sf_dir).table(
-        "spacing", lambda: spacing_of.at_start(early_rates(spark, sf_dir), bindings.BOUND_BASINS)
+        "spacing_dense" if dense else "spacing",
+        lambda: spacing_of.at_start(early_rates(spark, sf_dir, dense), bindings.BOUND_BASINS),
     )
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
     return Steps.of(spark, sf_dir).table(
-        "analog_candidates",
+        "analog_candidates_dense" if dense else "analog_candidates",
         lambda: pairs_of.build(
-            early_rates(spark, sf_dir), bindings.BOUND_BASINS, spacing(spark, sf_dir)
+            early_rates(spark, sf_dir, dense),
+            bindings.BOUND_BASINS,
+            spacing(spark, sf_dir, dense),
         ),
         partition_by="basin_name",
     )
 
 
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curve embeddings of the early-curve wells."""
+    return Steps.of(spark, sf_dir).table(
+        "embeddings", lambda: embeddings.fit_transform(early_rates(spark, sf_dir))
+    )
+
+
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Steps.of(spark, sf_dir).table(
         "peak_features", lambda: peak_features.features(early_rates(spark, sf_dir))
     )
 
 
-def training(spark: SparkSession, sf_dir: str) -> DataFrame:
+def training(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
     return pairs_of.training_pairs(
-        candidates(spark, sf_dir),
-        early_rates(spark, sf_dir),
+        candidates(spark, sf_dir, dense),
+        early_rates(spark, sf_dir, dense),
         peaks(spark, sf_dir),
         bindings.TRAINING_YEARS,
     )
 
 
 def training_alt(
-    spark: SparkSession, sf_dir: str, embeddings: DataFrame | None = None
+    spark: SparkSession, sf_dir: str, vectors: DataFrame | None = None
 ) -> DataFrame:
     return pairs_of.training_pairs_alt(
         candidates(spark, sf_dir),
         early_rates(spark, sf_dir),
-        embeddings,
+        vectors,
         before=bindings.ALTERNATE_CUT,
     )
 
 
 def ranker_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored training matrix with graded labels; targets are split inside their basin."""
+    """Stored training matrix of the dense fields with graded labels; targets are split inside
+    their basin."""
 
     def build():
-        made = ranker.training_features(labels.graded(training(spark, sf_dir)))
+        made = ranker.training_features(labels.graded(training(spark, sf_dir, dense=True)))
         parts = [
             labels.split(made.filter(F.col("basin_name") == b.name)) for b in bindings.BOUND_BASINS
         ]
@@ -165,7 +179,7 @@ def rank_models(spark: SparkSession, sf_dir: str) -> dict[str, ranker.RankModel]
 
 def rank_scorer(spark: SparkSession, sf_dir: str):
     """Scores the pairs of a lookup by the model of their basin."""
-    known = peaks(spark, sf_dir), spacing(spark, sf_dir)
+    known = peaks(spark, sf_dir), spacing(spark, sf_dir, dense=True)
     return ranker.by_basin(
         rank_models(spark, sf_dir), lambda model: ranker.scorer(model, *known)
     )
@@ -197,10 +211,11 @@ def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def test_wells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.test_wells(
+def test_wells(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    made = evaluate.test_wells(
         model_wells(spark, sf_dir), model_prod(spark, sf_dir), bindings.TEST_YEAR
     )
+    return bindings.drawn_together(made) if dense else made
 
 
 # Exact multiples of cents fall on rounding ties that engines break differently.

@@ -31,10 +31,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing was written to."""
+    return f"{shared_folder(spark)}/wellkin/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4()}"
+
+
 def store(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write a step's result under a fresh path and return the table read back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/wellkin/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4()}"
+    path = fresh_path(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)

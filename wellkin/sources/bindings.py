@@ -82,6 +82,16 @@ def _headers(k: str) -> list[str]:
     ]
 
 
+def drawn_together(wells: DataFrame, share: float = 0.2) -> DataFrame:
+    """Dense fields: each bound field is a box from a corner; distances from it shrink to a share."""
+    north = "lat > 45"
+    return wells.selectExpr(
+        *[c for c in wells.columns if c not in ("lat", "lon")],
+        f"IF({north}, 47.6D, 40D) + (lat - IF({north}, 47.6D, 40D)) * {share!r}D AS lat",
+        f"IF({north}, -103.6D, -104.8D) + (lon - IF({north}, -103.6D, -104.8D)) * {share!r}D AS lon",
+    ).select(*wells.columns)
+
+
 def legacy_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = "s_suppkey"
     return load(spark, sf_dir, "supplier").selectExpr(
