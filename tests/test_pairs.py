@@ -104,11 +104,10 @@ def test_hot_cells_are_split_without_losing_or_repeating_pairs(spark):
 RULES = ["target_id <> candidate_id", "candidate_id LIKE '%7' AND target_id <> candidate_id"]
 
 
-@pytest.mark.parametrize("rule", RULES)
-@pytest.mark.parametrize("k", [1, 6, 60])
+@pytest.mark.parametrize("rule, k", [(RULES[0], 6), (RULES[1], 2)])
 def test_rings_find_what_the_whole_radius_holds(spark, rule, k):
-    data, df = points(spark, 250, 6)
-    clump, dense = points(spark, 80, 7, ((40.1, 40.12), (-104.4, -104.38)), "z")
+    data, df = points(spark, 150, 6)
+    clump, dense = points(spark, 60, 7, ((40.1, 40.12), (-104.4, -104.38)), "z")
     both = sides(df.unionByName(dense))
     columns = ("target_id", "analog_rank", "candidate_id")
     whole = radius.top_by_distance(radius.within_radius(*both, 15.0, where=rule), k)
@@ -117,7 +116,7 @@ def test_rings_find_what_the_whole_radius_holds(spark, rule, k):
 
 def test_ring_pairs_follow_k_and_not_the_density(spark):
     k, formed = 5, []
-    for n in (400, 1600):
+    for n in (300, 1200):
         data, df = points(spark, n, 11, ((40.0, 40.2), (-104.7, -104.5)))
         t, c = sides(df)
         started = radius.ring_starts(t, c, 15.0, k).cache()

@@ -24,7 +24,7 @@ from wellkin.functions import geo
 
 PAIRS_PER_TASK = 200_000_000
 #: Halvings of the radius that a ring search may start from.
-HALVINGS = 8
+HALVINGS = 6
 #: Columns by which a radius join is partitioned, beside its ``on`` columns.
 CELL = ("_band", "_col", "_tpart", "_cpart")
 
