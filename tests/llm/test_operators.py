@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -134,6 +135,30 @@ def test_language(spark, folder, clashing):
     assert {r["doc_id"] for r in kept.collect()}.isdisjoint({50, 51, 52, 53})
 
 
+def test_the_least_score_rejects_texts(spark, docs):
+    scores = {r["doc_id"]: r["lang_score"] for r in language.identify(docs).collect()}
+    kept = {r["doc_id"] for r in language.keep_identified(docs, 0.9).collect()}
+    assert kept == {i for i, s in scores.items() if s >= 0.9} and 0 < len(kept) < len(scores)
+
+
+def test_rows_alike_but_in_one_column_have_a_defined_first(spark):
+    data = [(1, "same words here again", s) for s in ("b", "a", "a", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    first = [simhash.keep_first(docs.repartition(n)).collect() for n in (1, 4)]
+    assert first[0] == first[1] and len(first[0]) == 1
+
+
+def test_decontamination_keeps_every_column_name(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, "x", "y"), (2, "clean words", "x", "y")], "doc_id long, text string, row_key string, block string")
+    items = [(i, " ".join(f"{'w' if i == 3 else 'q'}{k}" for k in range(12))) for i in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (decontaminate.BLOCK_BYTES, 40):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        kept = decontaminate.keep_clean(docs, bench)
+        assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [2]
+
+
 def test_long_and_rare_languages_are_learned(spark):
     """Labelled texts over 16 KB count, and a language of few rows among many is predicted."""
     rng = np.random.default_rng(4)

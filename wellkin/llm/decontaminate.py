@@ -16,10 +16,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellkin.llm import corpus
+from wellkin.plans.stored import store
 
 #: Words of a window.
 WINDOW = 10
@@ -185,31 +186,34 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs` without any occurrence, all columns."""
-    total = _pieces(benchmark, window).agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    if total <= BLOCK_BYTES:
-        block = [(r["item"] or "", bytes(r["piece"])) for r in _pieces(benchmark, window).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            tables = windows(shared.value, window)
-            for batch in batches:
-                yield batch.map(
-                    lambda t: not any(True for table in tables for _ in table.search(words(t)))
-                ).astype(bool)
-
-        return docs.filter(clean("text"))
-    key = F.xxhash64("doc_id", "text")
     dealt = _pieces(benchmark, window)
-    n = -(-total // BLOCK_BYTES)
+    total = dealt.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+    n = max(1, -(-total // BLOCK_BYTES))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("item", "piece"), F.lit(n)))
-    keyed = docs.select("doc_id", "text", key.alias("row_key"))
+    if n > 1:
+        dealt = store(dealt, "pieces")
+    # Each block of the benchmark is a filter over the rows that the blocks before it left.
     for b in range(n):
-        hit = _scan(keyed, dealt.filter(F.col("block") == b), window, True).select("row_key")
-        docs = docs.withColumn("row_key", key).join(hit, "row_key", "left_anti").drop("row_key")
+        rows = dealt.filter(F.col("block") == b).select("item", "piece").collect()
+        docs = docs.filter(_without([(r["item"] or "", bytes(r["piece"])) for r in rows], docs, window))
     return docs
 
 
+def _without(block: list[tuple[str, bytes]], docs: DataFrame, window: int) -> Column:
+    """Whether a text has no occurrence of a block's windows."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tables = windows(shared.value, window)
+        for batch in batches:
+            yield batch.map(
+                lambda t: not any(True for table in tables for _ in table.search(words(t)))
+            ).astype(bool)
+
+    return clean("text")
+
+
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     return report(corpus.table(spark, sf_dir, "documents"), corpus.table(spark, sf_dir, "benchmark"))
 

@@ -33,6 +33,8 @@ ROWS, BYTES = 64, 1 << 20
 LEAST_ROWS = 64
 
 NONE = "und"
+#: Score under which no language claims a text; 0.5 is the border between one and the rest.
+LEAST_SCORE = 0.3
 
 
 def _raw(text: str | None) -> bytes:
@@ -169,16 +171,19 @@ def _labelled(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
     return out.select("*", f"{name}.lang_pred", f"{name}.lang_score").drop(name)
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
+def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The rows of `docs` whose text has a language, all columns.
 
-    Without any labelled row there is none to find; then only null and letterless texts go.
+    Null and letterless texts go, and texts that score less than `least_score`: those that every
+    language's own classifier clearly counts among the rest.  Without any labelled row there is
+    no language to find; then only null and letterless texts go.
     """
     own = docs.columns
     kept = docs.select("doc_id", "text", "lang", F.struct(*own).alias("_row"))
     model = learn(kept)
     if model[0]:
         found = _labelled(kept, model).filter(F.col("lang_pred") != NONE)
+        found = found.filter(F.col("lang_score") >= least_score)
     else:
         found = kept.filter(F.pandas_udf(lambda texts: texts.map(_has_letter), "boolean")("text"))
     return found.select("_row.*")

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellkin.llm import components, corpus
@@ -237,11 +237,16 @@ def near_duplicates(
     return marked.join(by_fp, "fp")
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of all columns, so that only rows alike in all of them share it."""
+    maps = {name for name, kind in docs.dtypes if kind.startswith("map")}
+    return F.xxhash64(*[F.map_entries(c) if c in maps else F.col(f"`{c}`") for c in docs.columns])
+
+
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One row of each component: smallest id, then smallest key of id and text; all columns of `docs`."""
-    key = docs.select(
-        F.col("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("row_key")
-    )
+    """One row of each component: smallest id, then smallest hash of the whole row; all columns of
+    `docs`.  Of rows alike in all columns one stays."""
+    key = docs.select(F.col("doc_id"), F.col("text"), _row_key(docs).alias("row_key"))
     marked, grouped = _grouped(key, shingle, distance)
     # A fingerprint's first row is all that can be first in its component.
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
@@ -249,10 +254,9 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
     first = by_fp.join(grouped, "fp").groupBy("group").agg(F.min("first").alias("first"))
     keep = first.select(F.col("first.row_key").alias("row_key"))
     name = "_simhash_row"
-    kept = docs.withColumn(name, F.xxhash64("doc_id", "text")).join(
+    kept = docs.withColumn(name, _row_key(docs)).join(
         keep.withColumnRenamed("row_key", name), name, "left_semi"
     )
-    # Fully repeated rows share a key: the same id and text are one row.
     return kept.dropDuplicates([name]).drop(name)
 
 
