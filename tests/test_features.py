@@ -135,7 +135,7 @@ def test_split_is_by_target_order(spark):
     assert train == sorted({d[0] for d in data})[:16]
 
 
-def test_embeddings_match_an_eigen_decomposition(spark):
+def test_embeddings_match_an_eigen_decomposition(spark, tmp_path):
     rng = np.random.default_rng(2)
     curves = np.abs(rng.normal(100, 40, (60, 9))) * np.linspace(2, 0.5, 9) * rng.uniform(0.5, 2, (60, 1))
     curves[:4, :3] = 0.0
@@ -155,6 +155,11 @@ def test_embeddings_match_an_eigen_decomposition(spark):
     got = np.array([r.embedding for r in model.transform(oil).orderBy("well_id").collect()])
     assert np.abs(got) == pytest.approx(np.abs(scores), abs=1e-6)
 
+    model.write(str(tmp_path / "curves"), spark)
+    again = embeddings.CurveModel.read(str(tmp_path / "curves"), spark)
+    assert (again.count, again.signs, again.scale) == (model.count, model.signs, model.scale)
+    assert again.transform(oil).exceptAll(model.transform(oil)).count() == 0
+
     both = embeddings.fit_transform(frame)
     assert both.count() == 56 and both.filter("gas_embedding IS NULL").count() == 4
     summary = embeddings.summary(both)

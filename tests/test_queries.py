@@ -37,7 +37,7 @@ def test_every_check_belongs_to_a_query():
     unchecked = set(QUERIES) - set(ORACLE)
     assert unchecked == {
         "lambdarank_scores", "lambdarank_forecast", "lambdarank_metrics", "feature_importance",
-        "model_compare_trained", "hybrid_choice_trained",
+        "model_compare_trained", "hybrid_choice_trained", "batch_forecast_trained",
     }
 
 

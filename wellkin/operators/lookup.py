@@ -27,14 +27,14 @@ def analogs(
     targets: DataFrame,
     early: DataFrame,
     basins: BasinSet = BASINS,
-    k: int = 20,
+    k: int | None = None,
     radius: str | float | None = None,
     tolerance: float | None = None,
 ) -> DataFrame:
     """The k nearest same-formation wells that started strictly before the target.
 
-    Formation is a join key, so it splits the cells as well.  Targets without formation or
-    lateral find nothing.
+    ``k`` is the basin's ``top_k`` unless given.  Formation is a join key, so it splits the cells
+    as well.  Targets without formation or lateral find nothing.
     """
     on = ("basin_name", "formation")
     reach = basins.sql("max_distance_miles") if radius is None else radius
@@ -55,15 +55,17 @@ def analogs(
         "candidate_first_prod_date < target_first_prod_date"
         " AND candidate_lateral_length BETWEEN target_shortest AND target_longest"
     )
+    most = max(b.top_k for b in basins) if k is None else k
     return (
         nearest_within(
             prefixed(wanted, "target_", on),
             _candidates(known, on),
             reach,
-            k,
+            most,
             on,
             rule,
         )
+        .filter(F.col("analog_rank") <= (basins.value("top_k") if k is None else F.lit(k)))
         .withColumn(
             "length_ratio", ratio(F.col("candidate_lateral_length"), F.col("target_lateral_length"))
         )

@@ -931,6 +931,22 @@ def batch_forecast(spark, sf):
     )
 
 
+@query
+def batch_forecast_trained(spark, sf):
+    """The batch with analogs chosen by the trained models, on the dense fields."""
+    requests = bindings.drawn_together(bindings.forecast_requests(spark, sf))
+    made = forecast.batch(
+        requests,
+        steps.early_rates(spark, sf, dense=True),
+        BASINS,
+        steps.rank_scorer(spark, sf),
+        as_of_year=bindings.AS_OF_YEAR,
+    )
+    return made.select(
+        "well_id", "error", "n_analogs", "p10_cum_9mo", "p50_cum_9mo", "p90_cum_9mo", "avg_distance_mi"
+    )
+
+
 @query
 def forecast_long_export(spark, sf):
     return files.forecast_long(_batch(spark, sf))

@@ -185,9 +185,9 @@ def rank_scorer(spark: SparkSession, sf_dir: str):
     )
 
 
-def nearest_analogs(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
+def nearest_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = early_rates(spark, sf_dir)
-    return lookup.analogs(early, early, bindings.BOUND_BASINS, k)
+    return lookup.analogs(early, early, bindings.BOUND_BASINS)
 
 
 def baseline_forecast(early: DataFrame) -> DataFrame:
