@@ -35,8 +35,9 @@ HEADLINE = [
     "validate_suite",
 ]
 STORED = ["model_prod", "model_wells", "early_rates", "spacing", "candidates", "peaks", "embedded"]
-#: Timed beside the total: the training matrix, and the ranker of every basin with the full settings.
-TRAINING = ["ranker_pairs", "rank_models"]
+#: Timed beside the total where BENCH_TRAINING is set, as they take minutes: the training matrix,
+#: and the ranker of every basin with the full settings.
+TRAINING = ["ranker_pairs", "rank_models"] if os.environ.get("BENCH_TRAINING") else []
 
 
 def seconds(work) -> float:
