@@ -4,10 +4,13 @@ Every window of `WINDOW` bytes has an anchor: the place of the smallest hash of
 strings.  Equal windows have equal anchors at equal places, so a window can only repeat where
 its anchor's string does.  The work has three passes over blocks of documents:
 
-1. Blocks send the hashes of their anchor strings, each once per block, to the bucket that owns
-   the hash; buckets answer with those that occur in two documents.
-2. For each answered anchor the block sends the bytes around it (all windows of that anchor),
-   equal contexts of a block once.  A bucket builds a suffix array of the anchors, with the
+1. A window that starts at least `HALF` bytes before its anchor holds the anchor's string and the
+   HALF bytes before it, any other the string and the `AHEAD` bytes after it.  Blocks send the
+   hashes of these longer strings, each once per block, to the bucket that owns the anchor's;
+   buckets answer with those that occur in two documents.  The anchor's own 16 bytes, a few
+   words, recur ever more often as a corpus grows, the longer strings hardly do.
+2. For each answered string the block sends the bytes around its anchor (all windows that hold
+   the string, those of both strings of an anchor together), equal contexts of a block once.  A bucket builds a suffix array of the anchors, with the
    longest common prefixes of neighbours, and scans it with a stack into the tree of common
    prefix intervals.  A window that starts j bytes before its anchor belongs to the interval
    whose prefix reaches its end; if the left extensions of the interval's members by j bytes
@@ -16,8 +19,10 @@ its anchor's string does.  The work has three passes over blocks of documents:
 3. The answered windows of a document are united into spans and cut out.
 
 Neither a group's occurrences nor an anchor's contexts gather in one place without bound:
-blocks send a context once, whatever its copies, and an anchor in more than `HOT` documents is
-sent window by window to the owner of the window's bytes.
+blocks send a context once, whatever its copies; the windows of an anchor of which blocks would
+send more than `HOT` contexts go to the owners of its longer strings, and those of a longer string
+with more than `HOT` contexts one by one to the owner of the window's bytes.  Copies of a passage
+in many documents are one context of a block, so they do not make it hot.
 
 Defined results: a null text is empty; texts shorter than a window keep all; rows with equal
 ids never remove bytes from each other; a null id counts as larger than every other.
@@ -39,9 +44,14 @@ from wellkin.llm import corpus
 
 #: Bytes of a repeated string, and of an anchor's string (at least 16, at most 24).
 WINDOW, KEY = 50, 16
-#: Text of a block, anchors of a bucket, bytes handled at once, documents of a hot anchor.
+#: Text of a block, anchors of a bucket, bytes handled at once, contexts of a hot anchor.
 BLOCK_BYTES, BUCKET_BYTES, PART_BYTES, HOT = 4_000_000, 16_000_000, 1 << 22, 4_096
 NO_ID = (1 << 63) - 1
+#: Bytes before an anchor's string, or after it, that the longer strings have.
+HALF = (WINDOW - KEY) // 2
+AHEAD = WINDOW - KEY - HALF + 1
+#: Bytes of a hash as it is sent: two of the anchor's string, three of the longer string.
+SENT = 5
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -60,15 +70,25 @@ def _key_hashes(raw: np.ndarray) -> np.ndarray:
     return code ^ (code >> np.uint64(32))
 
 
+def _longer(hashes: np.ndarray, places: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Hashes of strings that the KEY bytes from each of the places cover."""
+    code = np.full(len(places[0]), len(places[0]) and 1, np.uint64)
+    for place, odd in zip(places, _ODD, strict=True):
+        code = (code ^ hashes[place]) * odd
+        code ^= code >> np.uint64(31)
+    return code
+
+
 def _runs(raw: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
-    """Runs of windows with one anchor: start, count, anchor (places in raw), hash.
+    """Runs of windows with one anchor and longer string: start, count, anchor (places in raw),
+    hash of the anchor's string, hash of the longer string, hash of the context's two ends.
 
     `ends` are the ends of the texts that raw is made of; no window crosses one.
     """
     hashes = _key_hashes(raw)
     n = len(raw) - WINDOW + 1
     if n <= 0:
-        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("start", "n", "anchor", "hash")})
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("start", "n", "anchor", "hash", "longer", "ends")})
     # The place in the low bits makes the leftmost of equal hashes the smallest.
     low = np.uint64(max(1, int(len(raw)).bit_length()))
     least = (hashes >> low << low) | np.arange(len(hashes), dtype=np.uint64)
@@ -90,7 +110,40 @@ def _runs(raw: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
     good = place[starts] >= 0
     starts, counts = starts[good], counts[good]
     at = place[starts]
-    return pd.DataFrame({"start": starts, "n": counts, "anchor": at, "hash": hashes[at].view(np.int64)})
+    # Windows that hold the bytes before the anchor come first, then those that hold the bytes after.
+    early = np.clip(at - HALF - starts + 1, 0, counts)
+    starts = np.stack([starts, starts + early], 1).ravel()
+    counts = np.stack([early, counts - early], 1).ravel()
+    at, after = np.repeat(at, 2), np.tile([False, True], len(at))
+    some = counts > 0
+    starts, counts, at, after = starts[some], counts[some], at[some], after[some]
+    longer = np.empty(len(at), np.uint64)
+    low, high = at[~after], at[after]
+    longer[~after] = _longer(hashes, (low - HALF, low - HALF // 2, low))
+    longer[after] = _longer(hashes, (high + AHEAD, high, high + AHEAD // 2))
+    made = {"start": starts, "n": counts, "anchor": at, "hash": hashes[at].view(np.int64)}
+    ends_of = _longer(hashes, (starts, at, starts + counts - 1 + WINDOW - KEY))
+    return pd.DataFrame(made | {"longer": longer.view(np.int64), "ends": ends_of.view(np.int64)})
+
+
+def _codes(runs: pd.DataFrame, n_buckets: int) -> np.ndarray:
+    """Bucket and sent hash of each run; the bucket and the highest bytes are the anchor's alone."""
+    key, longer = (runs[c].to_numpy(np.int64).view(np.uint64) for c in ("hash", "longer"))
+    bits = np.uint64(8 * SENT)
+    own = (key & np.uint64(0xFFFF)) << np.uint64(24) | (longer & np.uint64(0xFFFFFF))
+    return ((key >> np.uint64(32)) % np.uint64(n_buckets)) << bits | own
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """The sent hashes, byte by byte: the highest of all, which are in order, side by side."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, SENT - 1 :: -1].T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(SENT, -1)
+    keys = np.zeros((planes.shape[1], 8), np.uint8)
+    keys[:, :SENT] = planes[::-1].T
+    return keys.view("<u8").ravel()
 
 
 def _parts(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, pd.DataFrame]]:
@@ -111,51 +164,69 @@ def _row_ranks(rows: pd.DataFrame) -> np.ndarray:
     return np.unique(rows["row_key"].to_numpy(np.int64), return_inverse=True)[1].astype(np.int32)
 
 
+def _different(place: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+    """Different values at each of `size` places."""
+    order = np.lexsort((of, place))
+    place, of = place[order], of[order]
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1]) | (of[1:] != of[:-1])
+    return np.bincount(place[new], minlength=size)
+
+
 def _anchors(rows: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
-    """Pass 1: (bucket, hashes) of a block; a count of 2 stands for more documents than one."""
-    hashes, ids = [], []
+    """Pass 1: (bucket, hashes) of a block; a count of 2 stands for more documents than one.
+
+    With each goes in how many documents the block has it, and about how many contexts.
+    """
+    hashes, ids, kept = [], [], []
     for raw, ends, part in _parts(rows):
         runs = _runs(raw, ends)
-        hashes.append(runs["hash"].to_numpy(np.int64).view(np.uint64))
+        kept.append(runs["ends"].to_numpy(np.int64))
+        hashes.append(_codes(runs, n_buckets))
         doc = part["id"].to_numpy(np.int64)
         ids.append(doc[np.searchsorted(ends, runs["anchor"].to_numpy(), "right")])
-    code, doc = np.concatenate(hashes), np.concatenate(ids)
-    order = np.lexsort((doc, code))
-    code, doc = code[order], doc[order]
-    new = np.ones(len(code), bool)
-    new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
-    code = code[new]
-    kinds, counts = np.unique(code, return_counts=True)
-    bucket = (kinds >> np.uint64(32)) % np.uint64(n_buckets)
-    order = np.argsort(bucket, kind="stable")
-    kinds, counts, bucket = kinds[order].astype(np.uint32), counts[order], bucket[order]
+    code, doc, kept = np.concatenate(hashes), np.concatenate(ids), np.concatenate(kept)
+    kinds, place = np.unique(code, return_inverse=True)
+    counts, contexts = (_different(place, of, len(kinds)) for of in (doc, kept))
+    bucket = kinds >> np.uint64(8 * SENT)
     names, starts = np.unique(bucket, return_index=True)
     stops = np.append(starts, len(bucket))[1:]
     return pd.DataFrame(
         {
             "block": np.full(len(names), rows["block"].iloc[0]),
             "bucket": names.astype(np.int64),
-            "keys": [kinds[a:b].tobytes() for a, b in zip(starts, stops, strict=True)],
-            "docs": [
-                np.minimum(counts[a:b], 255).astype(np.uint8).tobytes()
-                for a, b in zip(starts, stops, strict=True)
-            ],
+            "keys": [_packed(kinds[a:b]) for a, b in zip(starts, stops, strict=True)],
+            **{
+                name: [
+                    np.minimum(n[a:b], 255).astype(np.uint8).tobytes()
+                    for a, b in zip(starts, stops, strict=True)
+                ]
+                for name, n in (("docs", counts), ("contexts", contexts))
+            },
         }
     )
 
 
 def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pass 1, bucket: which of each block's hashes occur in two documents, and the hot ones."""
-    keys = [np.frombuffer(k, np.uint32) for k in rows["keys"]]
-    docs = np.concatenate([np.frombuffer(d, np.uint8) for d in rows["docs"]])
-    _, index = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(index, docs)[index]
+    """Pass 1, bucket: which of each block's hashes occur in two documents, and how hot they are.
+
+    1: the anchor's string has more than `HOT` contexts, 2: the longer one has.
+    """
+    keys = [_unpacked(k) for k in rows["keys"]]
+    docs, contexts = (
+        np.concatenate([np.frombuffer(d, np.uint8) for d in rows[c]]) for c in ("docs", "contexts")
+    )
+    kinds, index = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(index, docs, len(kinds))
+    _, anchor = np.unique(kinds >> np.uint64(24), return_inverse=True)
+    load = np.bincount(index, np.where(total[index] > 1, contexts, 0), len(kinds))
+    hot = (np.bincount(anchor, load) > HOT)[anchor].astype(np.uint8) + (load > HOT)
     out, at = [], 0
     for block, bucket, own in zip(rows["block"], rows["bucket"], keys, strict=True):
-        seen = total[at : at + len(own)]
+        of = index[at : at + len(own)]
         at += len(own)
-        if (seen > 1).any():
-            out.append((block, bucket, own[seen > 1].tobytes(), (seen[seen > 1] > HOT).tobytes()))
+        if (seen := total[of] > 1).any():
+            out.append((block, bucket, _packed(own[seen]), hot[of[seen]].astype(np.uint8).tobytes()))
     return pd.DataFrame(out, columns=["block", "bucket", "keys", "hot"])
 
 
@@ -169,13 +240,23 @@ _SENT = (
 _SENT_NAMES = [c.split()[0] for c in _SENT.split(",")]
 
 
+def _joined(runs: pd.DataFrame) -> pd.DataFrame:
+    """Runs that are not hot, those of one anchor together."""
+    start, n, anchor = (runs[c].to_numpy(np.int64).copy() for c in ("start", "n", "anchor"))
+    cold = runs["hot"].to_numpy() == 0
+    second = np.zeros(len(runs), bool)
+    second[1:] = (anchor[1:] == anchor[:-1]) & (start[1:] == start[:-1] + n[:-1]) & cold[1:] & cold[:-1]
+    n[:-1] += np.where(second[1:], n[1:], 0)
+    return runs.assign(n=n)[~second]
+
+
 def _contexts(rows: pd.DataFrame, answered: pd.DataFrame, n_buckets: int) -> Iterator[pd.DataFrame]:
     """Pass 2, block: the contexts of answered anchors, equal ones once."""
     wanted = [
-        (np.uint64(b) << np.uint64(32)) | np.frombuffer(k, np.uint32).astype(np.uint64)
+        (np.uint64(b) << np.uint64(8 * SENT)) | _unpacked(k)
         for b, k in zip(answered["bucket"], answered["keys"], strict=True)
     ]
-    hot = [np.frombuffer(h, bool) for h in answered["hot"]]
+    hot = [np.frombuffer(h, np.uint8) for h in answered["hot"]]
     if not wanted:
         return
     wanted, hot = np.concatenate(wanted), np.concatenate(hot)
@@ -186,21 +267,19 @@ def _contexts(rows: pd.DataFrame, answered: pd.DataFrame, n_buckets: int) -> Ite
     settled: list[tuple[int, int, int]] = []
     for raw, ends, part in _parts(rows):
         runs = _runs(raw, ends)
-        code = runs["hash"].to_numpy(np.int64).view(np.uint64)
-        key = (((code >> np.uint64(32)) % np.uint64(n_buckets)) << np.uint64(32)) | (
-            code & np.uint64(0xFFFFFFFF)
-        )
+        key = _codes(runs, n_buckets)
         place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-        runs, place = runs[wanted[place] == key], place[wanted[place] == key]
+        runs = runs.assign(hot=hot[place])[wanted[place] == key]
+        runs = _joined(runs)
         whole = raw.tobytes()
         text = np.searchsorted(ends, runs["anchor"].to_numpy(), "right")
         starts = np.concatenate([[0], ends[:-1]])[text]
         ids, row_keys = part["id"].to_numpy(np.int64)[text], part["rank"].to_numpy(np.int32)[text]
         for s, n, a, first, doc, row, is_hot in zip(
             runs["start"].tolist(), runs["n"].tolist(), runs["anchor"].tolist(), starts.tolist(),
-            ids.tolist(), row_keys.tolist(), hot[place].tolist(), strict=True,
+            ids.tolist(), row_keys.tolist(), runs["hot"].tolist(), strict=True,
         ):
-            pieces = ((s + i, 1) for i in range(n)) if is_hot else ((s, n),)
+            pieces = ((s + i, 1) for i in range(n)) if is_hot > 1 else ((s, n),)
             for at, count in pieces:
                 kind = (whole[at : at + count + WINDOW - 1], a - at)
                 held = best.get(kind)
@@ -216,7 +295,13 @@ def _contexts(rows: pd.DataFrame, answered: pd.DataFrame, n_buckets: int) -> Ite
     block = int(rows["block"].iloc[0])
     dealt: dict[int, list[tuple]] = {}
     for (context, before), (doc, count, is_hot, owners) in best.items():
-        owner = context if is_hot else context[before : before + KEY]
+        if is_hot > 1:
+            owner = context
+        elif is_hot:
+            early = before >= HALF
+            owner = context[before - HALF * early : before + KEY + AHEAD * (not early)]
+        else:
+            owner = context[before : before + KEY]
         bucket = int.from_bytes(hashlib.blake2b(owner, digest_size=6).digest(), "little") % n_buckets
         dealt.setdefault(bucket, []).append((context, before, count, doc, owners))
     out = []
@@ -404,7 +489,7 @@ def _spans(docs: DataFrame, extra: tuple[str, ...] = ()) -> tuple[DataFrame, Dat
         "block", "row_key", "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", *extra
     )
     sent = rows.groupBy("block").applyInPandas(
-        lambda r: _anchors(r, n_buckets), "block int, bucket long, keys binary, docs binary"
+        lambda r: _anchors(r, n_buckets), "block int, bucket long, keys binary, docs binary, contexts binary"
     )
     answered = sent.groupBy("bucket").applyInPandas(
         _repeated, "block int, bucket long, keys binary, hot binary"
