@@ -38,7 +38,7 @@ from wellkin.plans.stored import fresh_path, store
 
 FOLD = 7
 #: Longest context in words, least training occurrences of a context, least divergence in bits.
-DEPTH, LEAST_COUNT, LEAST_BITS = 2, 512, 0.02
+DEPTH, LEAST_COUNT, LEAST_BITS = 2, 2, 0.02
 #: Bytes of text of a block, of a storage bucket, and of a slice of a text that is split at once.
 BLOCK_BYTES, STORED_BYTES, SLICE = 2_000_000, 4_000_000, 8_000_000
 #: Grams that a counting bucket holds, and most storage buckets.
