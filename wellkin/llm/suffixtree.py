@@ -45,9 +45,9 @@ FOLD = 7
 #: Longest context in words, least training occurrences of a context, least divergence in bits.
 DEPTH, LEAST_COUNT, LEAST_BITS = 2, 2, 0.02
 #: Bytes of text of a block, of a storage bucket, and of a slice of a text that is split at once.
-BLOCK_BYTES, STORED_BYTES, SLICE = 2_000_000, 4_000_000, 8_000_000
-#: Grams that a counting bucket holds, and most storage buckets.
-BUCKET_GRAMS, MOST_STORED = 1_000_000, 20_000
+BLOCK_BYTES, STORED_BYTES, SLICE = 4_000_000, 4_000_000, 8_000_000
+#: Grams that a counting bucket holds, and most counting and storage buckets.
+BUCKET_GRAMS, MOST_BUCKETS, MOST_STORED = 1_000_000, 60_000, 20_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: The end token's place among word hashes.
@@ -130,8 +130,8 @@ def _mixed(code: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Bytes of what travels: a context's hash, a gram's hash beside its context, numbers.
-CONTEXT, GRAM, NUMBER = 6, 5, 6
+#: Bytes of what travels: a context's hash, a gram's hash beside its context.
+CONTEXT, GRAM = 6, 5
 #: A context with as many training occurrences is dealt to several buckets, at least; and the most of them.
 HOT_COUNT, MOST_HOT = 200_000, 10_000
 
@@ -149,12 +149,13 @@ def _values(raw: bytes, width: int) -> np.ndarray:
 
 
 def _numbers(values: np.ndarray) -> bytes:
-    """Numbers of which most are small."""
-    return zlib.compress(_planes(values, NUMBER), 1)
+    """Numbers of which most are small: the bytes of the largest, then as many planes."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + zlib.compress(_planes(values, width), 1)
 
 
 def _read(raw: bytes) -> np.ndarray:
-    return _values(zlib.decompress(raw), NUMBER).astype(np.int64)
+    return _values(zlib.decompress(raw[1:]), raw[0]).astype(np.int64)
 
 
 def _bits(flags: np.ndarray) -> bytes:
@@ -165,10 +166,32 @@ def _flags(raw: bytes, size: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=size).astype(bool)
 
 
+def _keyed(codes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The bucket in the upper two bytes, what is sent of the hash in the lower six."""
+    n = np.uint64(n_buckets)
+    return (codes % n) << np.uint64(48) | _low(codes // n, CONTEXT)
+
+
 def _low(codes: np.ndarray, width: int) -> np.ndarray:
     return codes & np.uint64((1 << 8 * width) - 1)
 
 
+def _steps(hashes: np.ndarray) -> bytes:
+    """Hashes as steps from one to the next: where they ascend, the upper bytes are small."""
+    return _planes(np.diff(hashes, prepend=np.uint64(0)), CONTEXT)
+
+
+def _hashes(steps: bytes) -> np.ndarray:
+    return _low(np.cumsum(_values(steps, CONTEXT), dtype=np.uint64), CONTEXT)
+
+
+def _first(index: np.ndarray, size: int) -> np.ndarray:
+    """Where each number comes first."""
+    first = np.empty(size, np.int64)
+    first[index[::-1]] = np.arange(len(index) - 1, -1, -1)
+    return first
+
+
 def _starts(*keys: np.ndarray) -> np.ndarray:
     """Where a run of equal keys begins."""
     new = np.ones(len(keys[0]), bool)
@@ -182,17 +205,29 @@ class _Level:
     Runs are the contexts of the grams of a bucket.  Of the bucket number, the lowest bit tells
     that it is one of several that share the context."""
 
-    def __init__(self, n_buckets: int, at, code, context, train, n, shorter, under, alone, hot_from: int):
-        codes, first, index = np.unique(code, return_index=True, return_inverse=True)
-        self.at, self.index, self.own = at, index, np.bincount(index, train, len(codes)).astype(np.int64)
-        context, n_all = context[first], np.uint64(n_buckets)
-        self.shorter, self.under = shorter[first], under[first]
-        self.asked = (self.under > 1) | (self.under == 1) & ~alone[first]
-        parts = (1 + n[first] // hot_from).astype(np.uint64)
-        bucket = (context % n_all + (codes // n_all) % parts) % n_all
-        self.bucket = bucket * np.uint64(2) + (parts > 1)
-        self.context, self.gram = _low(context // n_all, CONTEXT), _low(codes // n_all, GRAM)
-        self.order = np.lexsort((self.context, self.bucket))
+    def __init__(self, n_buckets: int, at, index, codes, parent, contexts, own, n, shorter, under, alone, hot_from: int):
+        self.at, self.index, self.codes, self.own = at, index, codes, own
+        self.shorter, self.under = shorter, under
+        self.asked = (under > 1) | (under == 1) & ~alone
+        # Contexts in the order of their buckets and of what is sent of their hashes.
+        met = np.flatnonzero(np.bincount(parent, minlength=len(contexts)))
+        keys = _keyed(contexts[met], n_buckets)
+        place = np.empty(len(contexts), np.int64)
+        place[met[np.argsort(keys, kind="stable")]] = np.arange(len(met))
+        rank, key = place[parent], np.sort(keys)
+        bucket, self.context = (key >> np.uint64(48))[rank], _low(key, CONTEXT)[rank]
+        self.gram = _low(codes // np.uint64(n_buckets), GRAM)
+        self.hot = n >= hot_from
+        if self.hot.any():
+            parts, code = (1 + n[self.hot] // hot_from).astype(np.uint64), codes[self.hot] // np.uint64(n_buckets)
+            bucket[self.hot] = (bucket[self.hot] + code % parts) % np.uint64(n_buckets)
+            self.bucket = bucket * np.uint64(2) + self.hot
+            self.order = np.lexsort((rank, self.bucket))
+        else:
+            self.bucket = bucket * np.uint64(2)
+            # All keys differ, so their order does not depend on how they are sorted.
+            low = np.sort(rank.astype(np.uint64) << np.uint64(32) | np.arange(len(rank), dtype=np.uint64))
+            self.order = _low(low, 4).astype(np.int64)
         self.runs = _starts(self.bucket[self.order], self.context[self.order])
         self.total = self.alone = self.successors = self.kept = None
 
@@ -206,7 +241,7 @@ class _Level:
         runs = np.split(np.arange(len(head)), own[1:])
         grams = [g[self.asked[g]] for g in np.split(self.order, self.runs[own[1:]])]
         made = {"block": block, "bucket": self.bucket[head][own].astype(np.int64)}
-        made["contexts"] = [_planes(np.diff(self.context[head[r]], prepend=np.uint64(0)), CONTEXT) for r in runs]
+        made["contexts"] = [_steps(self.context[head[r]]) for r in runs]
         made["sizes"] = [_numbers(sizes[r]) for r in runs]
         made["ones"] = [_numbers(ones[r]) for r in runs]
         made["shorter"] = [_numbers(self.shorter[head[r]]) for r in runs]
@@ -231,7 +266,7 @@ class _Level:
         self.successors[self.order] = np.repeat(np.concatenate(each), sizes)
         kept = [_flags(a["kept"], len(e)) for a, e in zip(sent, each, strict=True)]
         self.kept[self.order] = np.repeat(np.concatenate(kept), sizes)
-        shared = np.flatnonzero(self.bucket % np.uint64(2))
+        shared = np.flatnonzero(self.hot)
         if len(shared):
             found = np.searchsorted(hot["context"], self.context[shared])
             self.successors[shared], self.kept[shared] = hot["successors"][found], hot["kept"][found]
@@ -254,7 +289,9 @@ class Block:
         self.place = np.arange(len(self.stream)) - np.repeat(self.starts, self.lengths)
         self.held = np.frombuffer(row.held, bool)
         self.train = np.repeat(~self.held, self.lengths)
-        self.codes = [words[self.stream]]
+        self.words = words
+        #: Of the grams counted last: their hashes, and the number of the one that ends at each place.
+        self.codes, self.number = words, self.stream
         self.counts: list[np.ndarray] = []
         self.levels: list[_Level] = []
 
@@ -265,29 +302,30 @@ class Block:
 
     def open_level(self, tokens: int, n_buckets: int, hot_from: int) -> _Level:
         """The grams behind each context of the next length that is frequent enough."""
-        length = len(self.counts)
+        length, last = len(self.counts), self.counts[-1]
         at = np.flatnonzero(self.place >= length)
         # At `at - 1` ends the context, a gram counted one level before.
-        at = at[self.counts[-1][at - 1] >= self.least_count]
-        code = np.zeros(len(self.stream), np.uint64)
-        code[1:] = _mixed(self.codes[-1][:-1], self.codes[0][1:])
-        shorter = self.counts[-2][at - 1] if length > 1 else np.full(len(at), tokens)
+        at = at[last[at - 1] >= self.least_count]
+        index, made = pd.factorize(self.number[at - 1].astype(np.int64) * len(self.words) + self.stream[at])
+        first = at[_first(index, len(made))]
+        parent, own = made // len(self.words), np.bincount(index, self.train[at], len(made)).astype(np.int64)
+        codes = _mixed(self.codes[parent], self.words[self.stream[first]])
+        shorter = self.counts[-2][first - 1] if length > 1 else np.full(len(first), tokens)
         level = _Level(
-            n_buckets, at, code[at], self.codes[-1][at - 1], self.train[at],
-            self.counts[-1][at - 1], shorter, self.counts[-1][at], self.alone[at], hot_from,
+            n_buckets, at, index, codes, parent, self.codes, own,
+            last[first - 1], shorter, last[first], self.alone[first], hot_from,
         )
-        self.codes.append(code)
         self.levels.append(level)
         return level
 
     def know_level(self, answers, hot: np.ndarray) -> None:
-        level = self.levels[-1]
+        level, size = self.levels[-1], len(self.stream)
         level.know(answers, hot)
-        counts = np.zeros(len(self.stream), np.int64)
+        counts, self.alone, self.number = np.zeros(size, np.int64), np.zeros(size, bool), np.zeros(size, np.int64)
         counts[level.at] = level.total[level.index]
-        self.counts.append(counts)
-        self.alone = np.zeros(len(self.stream), bool)
         self.alone[level.at] = level.alone[level.index]
+        self.number[level.at], self.codes = level.index, level.codes
+        self.counts.append(counts)
 
     def scores(self, tokens: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each document by its words alone and by the tree."""
@@ -317,19 +355,14 @@ _JUDGED = (
 _SHARED = np.dtype([(n, "<u8") for n in ("context", "shorter", "n", "successors")] + [("gap", "<f8")])
 
 
-def _word_order(words: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the words, what is sent of their hashes, and the order in which it is sent."""
-    bucket, sent = words % np.uint64(n_buckets), _low(words // np.uint64(n_buckets), CONTEXT)
-    return bucket, sent, np.lexsort((sent, bucket))
-
-
 def _dealt_words(block: int, words: np.ndarray, counts: np.ndarray, n_buckets: int) -> pd.DataFrame:
-    bucket, sent, order = _word_order(words, n_buckets)
-    own = _starts(bucket[order])
-    parts = np.split(order, own[1:])
-    made = {"block": block, "bucket": bucket[order][own].astype(np.int64)}
-    made["grams"] = [_planes(np.diff(sent[p], prepend=np.uint64(0)), CONTEXT) for p in parts]
-    made["counts"] = [_numbers(counts[p]) for p in parts]
+    key = _keyed(words, n_buckets)
+    order = np.argsort(key, kind="stable")
+    bucket, sent = key[order] >> np.uint64(48), _low(key[order], CONTEXT)
+    own = _starts(bucket)
+    made = {"block": block, "bucket": bucket[own].astype(np.int64)}
+    made["grams"] = [_steps(p) for p in np.split(sent, own[1:])]
+    made["counts"] = [_numbers(p) for p in np.split(counts[order], own[1:])]
     return pd.DataFrame(made)
 
 
@@ -348,7 +381,7 @@ def _told_words(answers, words: np.ndarray, counts: np.ndarray, n_buckets: int)
     """Corpus counts of a block's words, and which are in no other, from the buckets' answers."""
     total, alone = counts.copy(), np.zeros(len(words), bool)
     if sent := _in_order(answers):
-        order = _word_order(words, n_buckets)[2]
+        order = np.argsort(_keyed(words, n_buckets), kind="stable")
         others, alone[order] = _heard(sent)
         total[order] += others
     return total, alone
@@ -360,9 +393,9 @@ def _each(values: np.ndarray, sizes: list[int], write) -> list[bytes]:
 
 def _totalled(rows: pd.DataFrame) -> pd.DataFrame:
     """How often the words that each block sent occur elsewhere, in its order."""
-    sent = [np.cumsum(_values(g, CONTEXT), dtype=np.uint64) for g in rows["grams"]]
+    sent = [_hashes(g) for g in rows["grams"]]
     counts, sizes = np.concatenate([_read(c) for c in rows["counts"]]), [len(s) for s in sent]
-    _, index = np.unique(np.concatenate(sent), return_inverse=True)
+    index, _ = pd.factorize(np.concatenate(sent))
     total = np.bincount(index, counts).astype(np.int64)
     out = rows[["block", "bucket"]].copy()
     out["others"] = _each(total[index] - counts, sizes, _numbers)
@@ -381,29 +414,28 @@ def _is_state(n, shorter, successors, gap, least_bits: float) -> np.ndarray:
 
 def _judged(rows: pd.DataFrame, least_bits: float) -> pd.DataFrame:
     """The same of the grams, and what they tell of the contexts before them."""
-    sent = [np.cumsum(_values(c, CONTEXT), dtype=np.uint64) for c in rows["contexts"]]
+    sent = [_hashes(c) for c in rows["contexts"]]
     runs, lengths = [len(c) for c in sent], [len(g) // GRAM for g in rows["grams"]]
     each = {
         name: np.concatenate([_read(v) for v in rows[name]])
         for name in ("sizes", "ones", "shorter", "counts", "under")
     }
     grams = np.concatenate([_values(g, GRAM) for g in rows["grams"]])
-    contexts, first, place = np.unique(np.concatenate(sent), return_index=True, return_inverse=True)
-    parent, counts, size = np.repeat(place, each["sizes"]), each["counts"], len(contexts)
-    order = np.lexsort((grams, parent))
-    one = _starts(parent[order], grams[order])
-    index = np.empty(len(order), np.int64)
-    index[order] = np.repeat(np.arange(len(one)), np.diff(np.append(one, len(order))))
-    total = np.bincount(index, counts, len(one)).astype(np.int64)
+    place, contexts = pd.factorize(np.concatenate(sent))
+    first, size, counts = _first(place, len(contexts)), len(contexts), each["counts"]
+    parent = np.repeat(place, each["sizes"]).astype(np.uint64)
+    index, made = pd.factorize(parent << np.uint64(8 * GRAM) | grams)
+    total = np.bincount(index, counts, len(made)).astype(np.int64)
     seen = total > 0
-    of, under, t = parent[order[one]][seen], each["under"][order[one]][seen], total[seen]
+    of = (made[seen] >> np.uint64(8 * GRAM)).astype(np.int64)
+    under, t = each["under"][_first(index, len(made))][seen], total[seen]
     # A gram that is not sent has one occurrence, as has the shorter one: it adds nothing to the gap.
     ones = np.bincount(place, each["ones"], size)
     n, successors = np.bincount(of, t, size) + ones, np.bincount(of, minlength=size) + ones.astype(np.int64)
     gap = np.bincount(of, t * (np.log2(t) - np.log2(under)), size)
     out = rows[["block", "bucket"]].copy()
     out["others"] = _each(total[index] - counts, lengths, _numbers)
-    out["alone"] = _each((np.bincount(index, minlength=len(one)) == 1)[index], lengths, _bits)
+    out["alone"] = _each((np.bincount(index, minlength=len(made)) == 1)[index], lengths, _bits)
     out["successors"] = _each(successors[place], runs, _numbers)
     shorter, kept, out["shared"] = each["shorter"][first], np.zeros(size, bool), None
     if rows["bucket"].iloc[0] % 2:
@@ -445,7 +477,8 @@ class _Corpus:
         self.depth, self.least_count, self.least_bits = depth, least_count, least_bits
         n_bytes = corpus.text_bytes(docs)
         self.stored = min(MOST_STORED, corpus.blocks_for(n_bytes, STORED_BYTES, 12))
-        self.n_buckets = corpus.blocks_for(n_bytes // 8, BUCKET_GRAMS, 64)
+        # Their numbers fit two bytes beside a hash.
+        self.n_buckets = min(MOST_BUCKETS, corpus.blocks_for(n_bytes // 8, BUCKET_GRAMS, 64))
         # A task holds few blocks, so it writes few files without an exchange.
         self.blocks = _kept(packed(docs), "blocks", self.stored)
         self.shared: list[np.ndarray] = []
