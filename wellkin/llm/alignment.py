@@ -52,7 +52,8 @@ RANGE, FAN, BLOCK_BYTES = 1 << 16, 16, 8_000_000
 AT_ONCE, RETURNED, REMEMBERED = 1 << 19, 500, 80_000
 
 _CUT_A = re.compile(r"(?<=\S)(?=[ \n])")
-_CUT_B = re.compile(r"(?<=\S)(?= \S)")
+#: The second tokenizer takes U+2581 for a blank, so a blank beside it does not stand alone.
+_CUT_B = re.compile(r"(?<=[^\s\u2581])(?= [^\s\u2581])")
 #: Any white space that isn't a single blank or line end between other characters.
 _IRREGULAR = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
 
